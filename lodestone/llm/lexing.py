@@ -15,20 +15,20 @@ _RAW3 = r'"""(?:[^"]|"(?!""))*"""+'
 _TICK = r"`(?:[^`\\]|\\.)*`"
 _LINE = r"//[^\r\n]*"
 _BLOCK = r"/\*(?:[^*]|\*(?!/))*\*/"
-_REGEX = r"(?<=[=(,:;!&|?{}\[])\s*/(?![*/])(?:[^/\\\r\n\[]|\\.|\[(?:[^\]\\\r\n]|\\.)*\])+/[a-z]*"
+REGEX = r"(?:(?<=[=(,:;!&|?{}\[])|(?<=return))\s*/(?![*/])(?:[^/\\\r\n\[]|\\.|\[(?:[^\]\\\r\n]|\\.)*\])+/[a-z]*"
 
 #: What is a comment (group c) and what is a string (group s), by language.
-_PIECES = {
+PIECES = {
     "python": (r"\#[^\r\n]*", rf"(?:[rRbBuUfF]{{0,2}})(?:{_T3}|{_T1}|{_DQ}|{_SQ})"),
-    "javascript": (rf"{_LINE}|{_BLOCK}", rf"{_DQ}|{_SQ}|{_TICK}|{_REGEX}"),
+    "javascript": (rf"{_LINE}|{_BLOCK}", rf"{_DQ}|{_SQ}|{_TICK}|{REGEX}"),
     "java": (rf"{_LINE}|{_BLOCK}", rf"{_T3}|{_DQ}|{_SQ}"),
     "go": (rf"{_LINE}|{_BLOCK}", rf"{_DQ}|`[^`]*`|{_SQ}"),
     "kotlin": (rf"{_LINE}|{_BLOCK}", rf"{_RAW3}|{_DQ}|{_SQ}"),
     "swift": (rf"{_LINE}|{_BLOCK}", rf"{_T3}|{_DQ}"),
     "dart": (rf"{_LINE}|{_BLOCK}", rf"r?(?:{_T3}|{_T1}|{_DQ}|{_SQ})"),
 }
-_PIECES["typescript"] = _PIECES["javascript"]
-MASTER = {k: re.compile(f"(?P<c>{c})|(?P<s>{s})", re.S) for k, (c, s) in _PIECES.items()}
+PIECES["typescript"] = PIECES["javascript"]
+MASTER = {k: re.compile(f"(?P<c>{c})|(?P<s>{s})", re.S) for k, (c, s) in PIECES.items()}
 
 
 def scan(language: str, text: str) -> tuple[str, list[tuple[int, int]], list[tuple[int, int]]]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import docpairs, origin, secrets, split
+from lodestone.llm import docpairs, neardup, origin, secrets, split, syntax
 from lodestone.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,31 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return split.split(table(spark, d, "chunks")).where(F.col("piece_no") == 0).select("chunk_id")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.check(table(spark, d, "repo_file"), table(spark, d, "files")).where(F.col("cost") > 0).select("file_id")
+
+
+def p5_rates(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.rates(syntax.check(table(spark, d, "repo_file"), table(spark, d, "files")))
+
+
+#: Parameters that TESTDATA.md states for problem 7: three words, similarity 0.6, at least 30 words.
+_P7 = {"key": "chunk_id", "text": "content", "threshold": 0.6, "size": 3, "least_words": 30}
+
+
+def _declarations(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "chunks").where(F.col("chunk_type").isin("function", "method", "class"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    members, links = neardup.near_duplicates(_declarations(spark, d), **_P7)
+    return neardup.pairs(members, links, "chunk_id").select(F.col("chunk_id_a").alias("chunk_a"), F.col("chunk_id_b").alias("chunk_b"))
+
+
+def p7_groups(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.grouped(_declarations(spark, d), **_P7)
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
