@@ -124,10 +124,14 @@ def prefix_length(n: int, threshold: float) -> int:
     return n - math.ceil(threshold * n - 1e-9) + 1
 
 
-def _prefixes(classes: DataFrame, threshold: float) -> DataFrame:
-    """token, id, n, pos: the prefix of each class, its shingles ordered from rare to frequent (ties by hash)."""
-    table = classes.sparkSession.sparkContext.broadcast(_counts(classes))
-    types = pa.schema([("token", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
+def small_prefix_length(n: int, threshold: float) -> int:
+    """The same for sets that only look for partners of their size or larger."""
+    return n - math.ceil(2 * threshold / (1 + threshold) * n - 1e-9) + 1
+
+
+def _prefixes(classes: DataFrame, table, length, suffix: str) -> DataFrame:
+    """token, id, n, pos (with the suffix): the prefix of each class, its shingles ordered from rare to frequent (ties by hash)."""
+    types = pa.schema([("token", pa.int64()), (f"id{suffix}", pa.int64()), (f"n{suffix}", pa.int32()), (f"pos{suffix}", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scale, mask = table.value, np.uint64((1 << CELLS_LOG2) - 1)
@@ -138,7 +142,7 @@ def _prefixes(classes: DataFrame, threshold: float) -> DataFrame:
             for i, x in enumerate(ids):
                 s = flat[offsets[i] : offsets[i + 1]]
                 n = len(s)
-                p = prefix_length(n, threshold)
+                p = length(n)
                 u = s.view(np.uint64)
                 # rarity in the top byte, then the hash: one order for all sets
                 order = np.argsort((scale[(u & mask).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (u >> np.uint64(8)), kind="stable")[:p]
@@ -149,15 +153,15 @@ def _prefixes(classes: DataFrame, threshold: float) -> DataFrame:
             if tokens:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (tokens, owners, sizes, places)], schema=types)
 
-    return classes.select("id", "shingles").mapInArrow(run, "token bigint, id bigint, n int, pos int")
+    return classes.select("id", "shingles").mapInArrow(run, f"token bigint, id{suffix} bigint, n{suffix} int, pos{suffix} int")
 
 
 def class_links(classes: DataFrame, threshold: float) -> DataFrame:
     """a, b, similarity for every pair of classes (id, n, shingles, pivots; a < b) whose Jaccard similarity is at least the threshold."""
-    prefix = _prefixes(classes, threshold)
+    table = classes.sparkSession.sparkContext.broadcast(_counts(classes))
     # of two sets the one of fewer shingles (ties: of smaller id) is the small one
-    small = prefix.select("token", *(F.col(c).alias(f"{c}_s") for c in ("id", "n", "pos")))
-    large = prefix.select("token", *(F.col(c).alias(f"{c}_l") for c in ("id", "n", "pos")))
+    small = _prefixes(classes, table, lambda n: small_prefix_length(n, threshold), "_s")
+    large = _prefixes(classes, table, lambda n: prefix_length(n, threshold), "_l")
     need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("n_s") + F.col("n_l")) - F.lit(1e-9))
     meets = (
         ((F.col("n_s") < F.col("n_l")) | ((F.col("n_s") == F.col("n_l")) & (F.col("id_s") < F.col("id_l"))))
@@ -165,7 +169,8 @@ def class_links(classes: DataFrame, threshold: float) -> DataFrame:
         & (F.least(F.col("n_s") - F.col("pos_s"), F.col("n_l") - F.col("pos_l")) >= need)
     )
     pairs = small.join(large, "token").where(meets).groupBy("id_s", "id_l").agg(F.first("n_s").alias("n_s"), F.first("n_l").alias("n_l"))
-    pivots = classes.select("id", "pivots")
+    # estimates of sizes don't know what a set holds: none of these may be broadcast
+    pivots = classes.select("id", "pivots").hint("merge")
     both = pairs.join(pivots.select(F.col("id").alias("id_s"), F.col("pivots").alias("p_s")), "id_s").join(pivots.select(F.col("id").alias("id_l"), F.col("pivots").alias("p_l")), "id_l")
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,8 +185,7 @@ def class_links(classes: DataFrame, threshold: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["id_s", "id_l"]).filter(pa.array(keep))
 
     left = cut(both.select("id_s", "id_l", "n_s", "n_l", "p_s", "p_l").mapInArrow(near, "id_s bigint, id_l bigint"))
-    named = left.select(F.col("id_s").alias("id")).union(left.select("id_l")).distinct()
-    sets = classes.join(named, "id", "left_semi").select("id", "shingles")
+    sets = classes.select("id", "shingles").hint("merge")
     full = left.join(sets.select(F.col("id").alias("id_s"), F.col("shingles").alias("x")), "id_s").join(sets.select(F.col("id").alias("id_l"), F.col("shingles").alias("y")), "id_l")
     shared = F.size(F.array_intersect("x", "y"))
     scored = full.withColumn("similarity", shared / (F.size("x") + F.size("y") - shared))
@@ -194,10 +198,14 @@ def near_duplicates(items: DataFrame, key: str, text: str, threshold: float = 0.
     Together they state every pair of keys at or above the threshold: keys of one class, and keys of linked classes.
     Repeated rows of one key and text count once; null keys or texts and texts with fewer words are left out. An empty table gives two empty ones.
     """
-    rows = cut(shingled(items, key, text, size, least_words))
-    # the class is named by its digest's first half: 64 bits are compared with the rest of the set when links are verified
-    members = rows.select(key, F.xxhash64("d1", "d2").alias("id")).distinct()
-    classes = rows.select(F.xxhash64("d1", "d2").alias("id"), "n", "shingles", "pivots").dropDuplicates(["id"])
+    rows = shingled(items, key, text, size, least_words)
+    # the class is named by a hash of its digest: 64 bits are compared with the rest of the set when links are verified
+    name = F.xxhash64("d1", "d2").alias("id")
+    # the texts are read twice, so that the sets of copies needn't be stored beside those of their class
+    members = cut(rows.select(key, name).distinct())
+    wide = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # partitioned by class for good: no later join moves the sets of all classes again
+    classes = cut(rows.select(name, "n", "shingles", "pivots").repartition(wide, "id").dropDuplicates(["id"]))
     return members, class_links(classes, threshold)
 
 

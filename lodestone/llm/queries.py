@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import docpairs, neardup, origin, secrets, split, syntax
+from lodestone.llm import docpairs, leakage, mixing, neardup, origin, secrets, skeleton, split, syntax
 from lodestone.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +54,27 @@ def p7_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.grouped(_declarations(spark, d), **_P7)
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    items = table(spark, d, "eval_items")
+    return leakage.by_item(leakage.leaks(table(spark, d, "documents"), items), items)
+
+
+def p9_copies(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return skeleton.look_alikes(table(spark, d, "documents")).select(F.col("doc_id_a").alias("doc_a"), F.col("doc_id_b").alias("doc_b"))
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
