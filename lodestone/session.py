@@ -46,3 +46,19 @@ def cut(df: DataFrame) -> DataFrame:
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def cut_by(df: DataFrame, *keys: str) -> DataFrame:
+    """As `cut`, but hash-partitioned by keys, and known to be: later joins on the keys don't move these rows again.
+
+    A plan that is adapted while it runs doesn't tell its partitioning, so this one is planned without adaptation.
+    """
+    spark = df.sparkSession
+    wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        return cut(df.repartition(wide, *keys).dropDuplicates(list(keys)))
+    finally:
+        spark.conf.set(name, before)
