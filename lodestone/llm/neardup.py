@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.session import cut
+from lodestone.session import cut, cut_by
 
 _WORD = re.compile(r"[a-z0-9_]+")
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xD6E8FEB86659FD93], dtype=np.uint64)
@@ -203,9 +203,8 @@ def near_duplicates(items: DataFrame, key: str, text: str, threshold: float = 0.
     name = F.xxhash64("d1", "d2").alias("id")
     # the texts are read twice, so that the sets of copies needn't be stored beside those of their class
     members = cut(rows.select(key, name).distinct())
-    wide = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # partitioned by class for good: no later join moves the sets of all classes again
-    classes = cut(rows.select(name, "n", "shingles", "pivots").repartition(wide, "id").dropDuplicates(["id"]))
+    classes = cut_by(rows.select(name, "n", "shingles", "pivots"), "id")
     return members, class_links(classes, threshold)
 
 
