@@ -1 +1,214 @@
-"""code_graph."""
+"""Queries of symbols, resolution, layers and the dependency graph."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.operators import graph as G
+from lodestone.operators import layers as L
+from lodestone.operators import symbols as S
+from lodestone.plans.chunking import chunks_once
+from lodestone.plans.registry import query
+from lodestone.sources.tables import table
+
+_CHUNKS = "c AS (SELECT DISTINCT chunk_id, repo_name, file_path, chunk_type, symbol_name, parent_symbol AS parent, start_line, content FROM chunks)"
+_BARE = "regexp_extract(symbol_name, '([^.:#/]+)$', 1)"
+_SYMBOLS = f"{_CHUNKS}, s AS (SELECT repo_name, file_path, {_BARE} AS name, parent, chunk_type AS kind, chunk_id, start_line FROM c WHERE chunk_type IN ('function', 'method', 'class', 'class_head', 'constant') AND symbol_name IS NOT NULL)"
+_NO = ", ".join(f"'{x}'" for x in S.NO_CALLS)
+
+
+def _first(keys: str, alias: str, where: str = "true") -> str:
+    return f"{alias} AS (SELECT {keys}, chunk_id AS {alias}_id FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY file_path, start_line NULLS FIRST, chunk_id) AS r FROM s WHERE {where}) WHERE r = 1)"
+
+
+_CALLS = f"""{_SYMBOLS}, k AS (SELECT chunk_id, repo_name, file_path, parent, {_BARE} AS own, unnest(list_distinct(regexp_extract_all(content, '([A-Za-z_][\\w.]*)\\s*\\(', 1))) AS callee FROM c WHERE chunk_type IN ('function', 'method') AND content IS NOT NULL),
+  k2 AS (SELECT *, regexp_extract(regexp_replace(callee, '{S.RECEIVERS}', ''), '([^.]+)$', 1) AS name FROM k WHERE callee NOT IN ({_NO}) AND callee IS DISTINCT FROM own),
+  {_first("repo_name, file_path, parent, name", "a", "parent IS NOT NULL")}, {_first("repo_name, file_path, name", "f")}, {_first("repo_name, name", "n")},
+  resolved AS (SELECT k2.chunk_id, k2.callee, coalesce(a_id, f_id, n_id) AS target, CASE WHEN a_id IS NOT NULL OR f_id IS NOT NULL THEN 1.0::DOUBLE WHEN n_id IS NOT NULL THEN 0.8::DOUBLE ELSE 0.5::DOUBLE END AS confidence,
+     CASE WHEN a_id IS NOT NULL THEN 'class' WHEN f_id IS NOT NULL THEN 'file' WHEN n_id IS NOT NULL THEN 'name' ELSE 'external' END AS via
+     FROM k2 LEFT JOIN a USING (repo_name, file_path, parent, name) LEFT JOIN f USING (repo_name, file_path, name) LEFT JOIN n USING (repo_name, name))"""
+
+
+def symbols(spark: SparkSession, d: str) -> DataFrame:
+    return S.entries(chunks_once(spark, d, "chunk_id", "repo_name", "file_path", "chunk_type", "symbol_name", "parent_symbol", "start_line"))
+
+
+def resolved(spark: SparkSession, d: str) -> DataFrame:
+    c = chunks_once(spark, d, "chunk_id", "repo_name", "file_path", "chunk_type", "symbol_name", "parent_symbol", "content")
+    return S.resolve_calls(S.calls(c), symbols(spark, d))
+
+
+@query(f"WITH {_SYMBOLS}, {_first('repo_name, file_path, name', 'f')} SELECT repo_name, file_path, name, f_id AS chunk_id FROM f")
+def q_symbol_first_wins(spark: SparkSession, d: str) -> DataFrame:
+    return S.first_by(symbols(spark, d), "repo_name", "file_path", "name").select("repo_name", "file_path", "name", F.col("hit.chunk_id").alias("chunk_id"))
+
+
+@query(f"WITH {_CALLS} SELECT chunk_id, callee, target, confidence, via FROM resolved")
+def q_resolve_calls(spark: SparkSession, d: str) -> DataFrame:
+    return resolved(spark, d).select("chunk_id", "callee", "target", "confidence", "via")
+
+
+@query(f"WITH {_CALLS} SELECT via, count(*) AS calls, count(DISTINCT target) AS targets, round(avg(confidence), 9) AS confidence FROM resolved GROUP BY 1")
+def q_resolution_rates(spark: SparkSession, d: str) -> DataFrame:
+    return resolved(spark, d).groupBy("via").agg(F.count("*").alias("calls"), F.count_distinct("target").alias("targets"), F.round(F.avg("confidence"), 9).alias("confidence"))
+
+
+@query(
+    f"""WITH {_SYMBOLS}, h AS (SELECT chunk_id, repo_name, array_to_string(list_slice(regexp_split_to_array(content, '\\r\\n|\\n|\\r'), 1, 3), ' ') AS t FROM c WHERE chunk_type IN ('class', 'class_head') AND content IS NOT NULL),
+    b AS (SELECT chunk_id, repo_name, unnest(regexp_split_to_array(coalesce(nullif(regexp_extract(t, 'class\\s+\\w+\\s*\\(([^)]*)\\)', 1), ''), nullif(regexp_extract(t, '(?:extends|implements|class\\s+\\w+[^:{{]*:)\\s+([^{{]*)', 1), ''), ''), '\\s*(?:,|\\bimplements\\b|\\bwith\\b)\\s*')) AS raw FROM h),
+    b2 AS (SELECT DISTINCT chunk_id, repo_name, trim(regexp_extract(raw, '^([^<\\[]*)', 1)) AS name FROM b), {_first("repo_name, name", "n", "kind IN ('class', 'class_head')")}
+    SELECT b2.chunk_id, name AS base, n_id AS target FROM b2 JOIN n USING (repo_name, name) WHERE name <> ''"""
+)
+def q_resolve_bases(spark: SparkSession, d: str) -> DataFrame:
+    return S.resolve_bases(chunks_once(spark, d, "chunk_id", "repo_name", "chunk_type", "content"), symbols(spark, d))
+
+
+def _imports(spark: SparkSession, d: str) -> DataFrame:
+    c = chunks_once(spark, d, "chunk_id", "repo_name", "file_path", "chunk_type", "content").where("chunk_type = 'import' AND content IS NOT NULL")
+    module = F.coalesce(F.nullif(F.regexp_extract("line", r"^\s*(?:from|import)\s+([\w./]+)", 1), F.lit("")), F.nullif(F.regexp_extract("line", r"from\s+[\"']([^\"']+)[\"']", 1), F.lit("")))
+    lines = c.select("chunk_id", "repo_name", "file_path", F.explode(F.split("content", r"\r\n|\n|\r")).alias("line"))
+    return lines.select("chunk_id", "repo_name", "file_path", module.alias("module")).where("module IS NOT NULL").distinct()
+
+
+_ENDS = ", ".join(f"{x} || '{e}'" for x in ("rel", "slashed", "('src/' || slashed)") for e in S.MODULE_ENDS)
+
+
+@query(
+    f"""WITH {_CHUNKS}, l AS (SELECT chunk_id, repo_name, file_path, unnest(regexp_split_to_array(content, '\\r\\n|\\n|\\r')) AS line FROM c WHERE chunk_type = 'import' AND content IS NOT NULL),
+    i AS (SELECT DISTINCT chunk_id, repo_name, file_path, coalesce(nullif(regexp_extract(line, '^\\s*(?:from|import)\\s+([\\w./]+)', 1), ''), nullif(regexp_extract(line, 'from\\s+["'']([^"'']+)["'']', 1), '')) AS module FROM l),
+    p AS (SELECT *, regexp_replace(file_path, '[^/]*$', '') || regexp_replace(module, '^\\./', '') AS rel, CASE WHEN contains(module, '/') THEN module ELSE replace(module, '.', '/') END AS slashed FROM i WHERE module IS NOT NULL),
+    t AS (SELECT chunk_id, repo_name, module, unnest([module, {_ENDS}]) AS path, generate_subscripts([module, {_ENDS}], 1) AS rank FROM p),
+    m AS (SELECT chunk_id, module, arg_min(path, rank) AS target FROM t JOIN (SELECT DISTINCT repo_name, path FROM repo_file) USING (repo_name, path) GROUP BY 1, 2)
+    SELECT DISTINCT p.chunk_id, p.module, m.target FROM p LEFT JOIN m USING (chunk_id, module)"""
+)
+def q_resolve_imports(spark: SparkSession, d: str) -> DataFrame:
+    return S.resolve_imports(_imports(spark, d), table(spark, d, "repo_file"))
+
+
+def _code_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Calls inside the repositories, and methods to their classes."""
+    r = resolved(spark, d).where("target IS NOT NULL AND target <> chunk_id")
+    called = r.select(F.col("chunk_id").alias("src"), F.col("target").alias("dst"), F.lit("CALLS").alias("kind"), "confidence", S.cross_domain(F.col("file_path"), F.col("target_file")).alias("cross_domain"))
+    from lodestone.operators.chunking import parents
+
+    c = chunks_once(spark, d, "chunk_id", "repo_name", "file_path", "chunk_type", "symbol_name", "parent_symbol", "start_line")
+    owned = parents(c, ["repo_name", "file_path"]).where("parent_id IS NOT NULL").select(F.col("chunk_id").alias("src"), F.col("parent_id").alias("dst"), F.lit("BELONGS_TO").alias("kind"), F.lit(1.0).alias("confidence"), F.lit(False).alias("cross_domain"))
+    return called.unionByName(owned)
+
+
+_EDGES = f"""{_CALLS}, heads AS (SELECT repo_name, file_path, symbol_name, chunk_id, row_number() OVER (PARTITION BY repo_name, file_path, symbol_name ORDER BY start_line, chunk_id) AS r FROM c WHERE chunk_type = 'class_head'),
+  edges AS (SELECT chunk_id AS src, target AS dst, 'CALLS' AS kind, confidence FROM resolved WHERE target IS NOT NULL AND target <> chunk_id
+  UNION ALL SELECT m.chunk_id, h.chunk_id, 'BELONGS_TO', 1.0::DOUBLE FROM c m JOIN heads h ON h.r = 1 AND h.repo_name = m.repo_name AND h.file_path = m.file_path AND h.symbol_name = m.parent WHERE m.chunk_type = 'method')"""
+
+
+@query(f"WITH {_EDGES} SELECT kind, count(*) AS n, count(DISTINCT (src, dst)) AS pairs FROM edges GROUP BY 1")
+def q_edge_types(spark: SparkSession, d: str) -> DataFrame:
+    return _code_edges(spark, d).groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("src", "dst").alias("pairs"))
+
+
+@query(f"WITH {_EDGES} SELECT DISTINCT chunk_id AS node FROM c WHERE chunk_type NOT IN ('module', 'import') AND NOT (starts_with(coalesce(symbol_name, ''), '__') AND ends_with(coalesce(symbol_name, ''), '__')) AND chunk_id NOT IN (SELECT dst FROM edges)")
+def q_orphans(spark: SparkSession, d: str) -> DataFrame:
+    name = F.coalesce("symbol_name", F.lit(""))
+    nodes = chunks_once(spark, d, "chunk_id", "chunk_type", "symbol_name").where(~F.col("chunk_type").isin("module", "import") & ~(name.startswith("__") & name.endswith("__")))
+    return G.orphans(nodes.select(F.col("chunk_id").alias("node")).distinct(), _code_edges(spark, d))
+
+
+#: Trade between nations stands for a dense graph: an edge from the customer's nation to the supplier's for every line sold.
+_TRADE = """trade AS (SELECT c_nationkey AS src, s_nationkey AS dst, l_returnflag AS kind, l_orderkey AS o, l_linenumber AS l FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey)"""
+
+
+def trade(spark: SparkSession, d: str) -> DataFrame:
+    t = lambda n: table(spark, d, n)
+    j = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    return j.select(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst"), F.col("l_returnflag").alias("kind"), F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("l"))
+
+
+def _rare_trade(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of nations that traded less than the average pair did."""
+    n = trade(spark, d).groupBy("src", "dst").agg(F.count("*").alias("n"))
+    mean = n.agg((F.avg("n") * 0.97).alias("mean"))
+    return n.join(F.broadcast(mean)).where("n < mean").select("src", "dst")  # one row
+
+
+_RARE = f"{_TRADE}, cnt AS (SELECT src, dst, count(*) AS n FROM trade GROUP BY 1, 2), e AS (SELECT src, dst FROM cnt WHERE n < (SELECT avg(n) * 0.97 FROM cnt))"
+
+
+@query(f"WITH {_TRADE} SELECT src, dst, kind, o, l FROM (SELECT *, row_number() OVER (PARTITION BY src, dst, kind ORDER BY o, l) AS r FROM trade) WHERE r = 1")
+def q_edges_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return G.first_edges(trade(spark, d), ["o", "l"])
+
+
+@query(f"WITH {_TRADE} SELECT src, dst, kind, o, l FROM (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY o DESC, l DESC, kind DESC) AS r FROM trade) WHERE r = 1")
+def q_digraph_last_wins(spark: SparkSession, d: str) -> DataFrame:
+    return G.digraph(trade(spark, d), ["o", "l", "kind"])
+
+
+@query(f"WITH {_RARE} SELECT node, sum(i) AS n_in, sum(o) AS n_out FROM (SELECT src AS node, 0 AS i, 1 AS o FROM e UNION ALL SELECT dst, 1, 0 FROM e) GROUP BY 1")
+def q_degrees(spark: SparkSession, d: str) -> DataFrame:
+    return G.degrees(_rare_trade(spark, d))
+
+
+@query(f"WITH {_RARE} SELECT src AS node, count(*) AS n_out FROM e GROUP BY 1 HAVING count(*) >= 10")
+def q_high_coupling(spark: SparkSession, d: str) -> DataFrame:
+    return G.high_coupling(_rare_trade(spark, d))
+
+
+@query(f"WITH {_RARE} SELECT (SELECT count(*) FROM nation) AS nodes, count(*) AS edges, round(count(*) / ((SELECT count(*) FROM nation) * ((SELECT count(*) FROM nation) - 1)), 9) AS density FROM e")
+def q_density(spark: SparkSession, d: str) -> DataFrame:
+    return G.stats(table(spark, d, "nation").select(F.col("n_nationkey").alias("node")), _rare_trade(spark, d))
+
+
+@query(
+    f"""WITH {_RARE} SELECT src::VARCHAR AS cycle, 1 AS length FROM e WHERE src = dst UNION ALL
+    SELECT a.src || '>' || a.dst, 2 FROM e a JOIN e b ON b.src = a.dst AND b.dst = a.src WHERE a.src < a.dst UNION ALL
+    SELECT a.src || '>' || a.dst || '>' || b.dst, 3 FROM e a JOIN e b ON b.src = a.dst JOIN e c ON c.src = b.dst AND c.dst = a.src WHERE a.src < a.dst AND b.dst > a.src AND b.dst <> a.dst"""
+)
+def q_cycles3(spark: SparkSession, d: str) -> DataFrame:
+    return G.cycles(_rare_trade(spark, d), 3)
+
+
+@query(
+    f"""WITH RECURSIVE {_RARE}, walk AS (SELECT DISTINCT src AS seed, src AS node, 0 AS hops FROM e UNION SELECT w.seed, e.dst, w.hops + 1 FROM walk w JOIN e ON e.src = w.node WHERE w.hops < 3)
+    SELECT seed, node, min(hops) AS hops FROM walk GROUP BY 1, 2"""
+)
+def q_reach_k(spark: SparkSession, d: str) -> DataFrame:
+    e = _rare_trade(spark, d)
+    return G.reach(e, e.select(F.col("src").alias("node")).distinct(), 3)
+
+
+@query(f"WITH {_RARE}, u AS (SELECT src, dst FROM e WHERE src <> dst UNION SELECT dst, src FROM e WHERE src <> dst) SELECT src AS node, count(*) AS radius FROM u GROUP BY 1")
+def q_blast_radius(spark: SparkSession, d: str) -> DataFrame:
+    return G.blast_radius(_rare_trade(spark, d))
+
+
+def _layer_sql() -> str:
+    suffix = lambda table, stem: "CASE " + " ".join(f"WHEN ends_with({stem}, '{s}') THEN '{k}'" for s, k in sorted(((s, k) for k, v in table.items() for s in v.split()), key=lambda t: (-len(t[0]), t[0]))) + " END"
+    tells = ", ".join(f"CASE WHEN list_has_any(folders, [{', '.join(repr(x) for x in L.FOLDERS[k].split())}]) OR coalesce(camel = '{k}', false) OR coalesce(snake = '{k}', false) THEN '{k}' END" for k in L.LAYERS)
+    return f"""f AS (SELECT file_id, list_transform(string_split(path, '/'), lambda p: regexp_replace(lower(p), '\\.[^.]*$', '')) AS folders, regexp_replace(string_split(path, '/')[-1], '\\.[^.]*$', '') AS stem FROM repo_file),
+      g AS (SELECT *, {suffix(L.SUFFIXES, 'stem')} AS camel, {suffix(L.SNAKE_SUFFIXES, 'lower(stem)')} AS snake FROM f),
+      labelled AS (SELECT file_id, list_filter([{tells}], lambda x: x IS NOT NULL) AS found FROM g)"""
+
+
+@query(f"WITH {_layer_sql()} SELECT file_id, CASE WHEN len(found) = 0 THEN 'unknown' ELSE array_to_string(found, ',') END AS labels, CASE WHEN len(found) = 0 THEN 'unknown' ELSE found[1] END AS layer FROM labelled")
+def q_layers(spark: SparkSession, d: str) -> DataFrame:
+    found = L.labels(F.col("path"))
+    return table(spark, d, "repo_file").select("file_id", F.array_join(found, ",").alias("labels"), found[0].alias("layer"))
+
+
+@query(
+    f"""WITH {_TRADE}, n AS (SELECT n_nationkey AS node, CASE n_regionkey WHEN 0 THEN 'presentation' WHEN 1 THEN 'domain' WHEN 2 THEN 'data' WHEN 3 THEN 'unknown' ELSE 'infrastructure' END AS layer FROM nation)
+    SELECT DISTINCT src, dst, a.layer AS src_layer, b.layer AS dst_layer FROM trade JOIN n a ON a.node = src JOIN n b ON b.node = dst WHERE (a.layer = 'presentation' AND b.layer = 'data') OR (a.layer = 'data' AND b.layer = 'presentation') OR (a.layer = 'unknown' AND b.layer = 'unknown' AND src <> dst)"""
+)
+def q_layer_violations(spark: SparkSession, d: str) -> DataFrame:
+    layer = F.element_at(F.array(*map(F.lit, ("presentation", "domain", "data", "unknown", "infrastructure"))), F.col("n_regionkey") + 1)
+    nodes = table(spark, d, "nation").select(F.col("n_nationkey").alias("node"), layer.alias("layer"), F.lit(1).alias("labels"))
+    edges = trade(spark, d).select("src", "dst", F.lit("CALLS").alias("kind"), (F.col("src") != F.col("dst")).alias("cross_domain")).distinct()
+    return G.layer_violations(edges, nodes)
+
+
+@query("SELECT DISTINCT a.file_path AS path_a, b.file_path AS path_b, len(string_split(a.file_path, '/')) >= 2 AND len(string_split(b.file_path, '/')) >= 2 AND string_split(a.file_path, '/')[1] <> string_split(b.file_path, '/')[1] AS cross_domain FROM chunks a JOIN chunks b ON a.next_chunk_id = b.chunk_id")
+def q_cross_domain(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "chunks")
+    a, b = c.select(F.col("file_path").alias("path_a"), F.col("next_chunk_id").alias("k")).distinct(), c.select(F.col("file_path").alias("path_b"), F.col("chunk_id").alias("k")).distinct()
+    return a.join(b, "k").select("path_a", "path_b", S.cross_domain(F.col("path_a"), F.col("path_b")).alias("cross_domain")).distinct()
