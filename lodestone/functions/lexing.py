@@ -1,4 +1,4 @@
-"""String- and comment-aware lexing of eight languages with one compiled state machine per language family."""
+"""String- and comment-aware lexing of nine languages with one compiled state machine per language family."""
 
 from __future__ import annotations
 
@@ -28,21 +28,28 @@ PIECES = {
     "dart": (rf"{_LINE}|{_BLOCK}", rf"r?(?:{_T3}|{_T1}|{_DQ}|{_SQ})"),
 }
 PIECES["typescript"] = PIECES["javascript"]
+PIECES["rust"] = (rf"{_LINE}|{_BLOCK}", rf"b?{_DQ}|r(?P<h>\#*)\".*?\"(?P=h)|b?'(?:[^'\\\r\n]|\\[^\r\n]{{1,8}})'")
 MASTER = {k: re.compile(f"(?P<c>{c})|(?P<s>{s})", re.S) for k, (c, s) in PIECES.items()}
 
 
-def scan(language: str, text: str) -> tuple[str, list[tuple[int, int]], list[tuple[int, int]]]:
-    """(code, comments, strings): `code` is the text with comments and strings blanked in place, so positions hold."""
+_VISIBLE = re.compile(r"[^\r\n]")
+
+
+def scan(language: str, text: str, multiline: bool = False) -> tuple[str, list[tuple[int, int]], list[tuple[int, int]]]:
+    """(code, comments, strings): `code` is the text with comments and strings blanked in place, so positions hold.
+
+    With multiline, line ends within comments and strings stay.
+    """
     comments, strings, out, at = [], [], [], 0
     for m in MASTER[language].finditer(text):
         a, b = m.span()
         out.append(text[at:a])
-        if m.lastgroup == "c":
+        if m.group("c") is not None:
             comments.append((a, b))
-            out.append(" " * (b - a))
+            out.append(_VISIBLE.sub(" ", text[a:b]) if multiline else " " * (b - a))
         else:
             strings.append((a, b))
-            out.append("\x01" * (b - a))  # neither blank nor a word
+            out.append(_VISIBLE.sub("\x01", text[a:b]) if multiline else "\x01" * (b - a))  # neither blank nor a word
         at = b
     out.append(text[at:])
     return "".join(out), comments, strings

@@ -1 +1,91 @@
-"""quality."""
+"""Queries of ingestion quality, by repository."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.functions import text as T
+from lodestone.operators import layers as L
+from lodestone.operators import parsers, quality, standards
+from lodestone.plans.chunking import chunks_once
+from lodestone.plans.code_graph import _layer_sql, resolved
+from lodestone.plans.corpus import flagged, sql_lines
+from lodestone.plans.registry import query
+from lodestone.sources.tables import table
+
+_P95 = f"""n AS (SELECT language, len({sql_lines('content')}) AS n FROM (SELECT DISTINCT chunk_id, language, chunk_type, content FROM chunks) WHERE content IS NOT NULL AND chunk_type <> 'module'),
+  s AS (SELECT language, list_sort(list(n)) AS v, count(*) AS c FROM n GROUP BY 1), j AS (SELECT *, greatest(1, least(c - 1, (95 * (c + 1)) // 100)) AS j FROM s),
+  p AS (SELECT language, CASE WHEN c = 1 THEN v[1]::DOUBLE ELSE (v[j] * (100 - (95 * (c + 1) - 100 * j)) + v[j + 1] * (95 * (c + 1) - 100 * j)) / 100 END AS p95 FROM j)"""
+
+
+@query(f"WITH {_P95} SELECT language, round(p95, 6) AS p95 FROM p")
+def q_quality_p95(spark: SparkSession, d: str) -> DataFrame:
+    n = chunks_once(spark, d, "chunk_id", "language", "chunk_type", "content").where("content IS NOT NULL AND chunk_type <> 'module'").select("language", F.size(T.lines(F.col("content"))).alias("n"))
+    return quality.p95(n, ["language"], "n").select("language", F.round("p95", 6).alias("p95"))
+
+
+@query(f"WITH {_P95} SELECT language, round(p95, 6) AS value, CASE WHEN p95 < good THEN 'PASS' WHEN p95 < fair THEN 'WARN' ELSE 'FAIL' END AS status FROM (SELECT p.*, CASE language " + " ".join(f"WHEN '{k}' THEN {a}" for k, (a, _) in quality.BY_LANGUAGE["IQ-05"].items()) + " ELSE 150 END AS good, CASE language " + " ".join(f"WHEN '{k}' THEN {b}" for k, (_, b) in quality.BY_LANGUAGE["IQ-05"].items()) + " ELSE 250 END AS fair FROM p)")
+def q_quality_chunk_size(spark: SparkSession, d: str) -> DataFrame:
+    v = q_quality_p95(spark, d).select(F.lit("IQ-05").alias("dim"), "language", F.col("p95").alias("value"))
+    return quality.graded(v).select("language", "value", "status")
+
+
+def dimensions(spark: SparkSession, d: str) -> DataFrame:
+    """repo_name, dim, language ('default'), value of what can be told of a repository from its files and chunks."""
+    f = flagged(spark, d)
+    ratio = lambda a, b: F.when(F.sum(b.cast("int")) > 0, F.sum(a.cast("int")) / F.sum(b.cast("int")))
+    parseable = F.col("language") != "unknown"
+    parsed = f.groupBy("repo_name").agg(ratio(F.col("language").isin("python", "swift", "kotlin", "rust", "dart", "java", "go", "javascript", "typescript"), parseable).alias("value")).withColumn("dim", F.lit("IQ-01"))
+    layer = L.labels(F.col("path"))[0]
+    unknown = table(spark, d, "repo_file").groupBy("repo_name").agg((F.count_if(layer == "unknown") / F.count("*")).alias("value")).withColumn("dim", F.lit("IQ-04"))
+    sizes = chunks_once(spark, d, "chunk_id", "repo_name", "chunk_type", "content").where("content IS NOT NULL AND chunk_type <> 'module'").select("repo_name", F.size(T.lines(F.col("content"))).alias("n"))
+    size = quality.p95(sizes, ["repo_name"], "n").select("repo_name", F.col("p95").alias("value"), F.lit("IQ-05").alias("dim"))
+    calls = resolved(spark, d).groupBy("repo_name").agg((F.count_if(F.col("via") != "external") / F.count("*")).alias("value")).withColumn("dim", F.lit("IQ-03"))
+    return reduce(DataFrame.unionByName, [parsed, unknown, size, calls]).select("repo_name", "dim", F.lit("default").alias("language"), F.round("value", 9).alias("value"))
+
+
+@query(f"WITH {_layer_sql()} SELECT repo_name, round(count_if(len(found) = 0) / count(*), 9) AS value, CASE WHEN count_if(len(found) = 0) / count(*) < 0.2 THEN 'PASS' WHEN count_if(len(found) = 0) / count(*) < 0.4 THEN 'WARN' ELSE 'FAIL' END AS status FROM labelled JOIN repo_file USING (file_id) GROUP BY 1")
+def q_quality_layers(spark: SparkSession, d: str) -> DataFrame:
+    return quality.graded(dimensions(spark, d).where("dim = 'IQ-04'")).select("repo_name", "value", "status")
+
+
+@query()
+def q_quality_decision(spark: SparkSession, d: str) -> DataFrame:
+    return quality.decision(quality.graded(dimensions(spark, d)), ["repo_name"])
+
+
+@query()
+def q_symbols(spark: SparkSession, d: str) -> DataFrame:
+    """Symbols of every file whose language has a parser."""
+    s = parsers.symbols(flagged(spark, d))
+    return s.select("file_id", "seq", "kind", "name", "start_line", "end_line", "parent", F.size("calls").alias("n_calls"), F.array_join("bases", ",").alias("bases"))
+
+
+@query()
+def q_symbol_density(spark: SparkSession, d: str) -> DataFrame:
+    f = flagged(spark, d).select("file_id", "language")
+    n = q_symbols(spark, d).groupBy("file_id").agg(F.count("*").alias("n"))
+    return f.join(n, "file_id", "left").groupBy("language").agg(F.count("*").alias("files"), F.coalesce(F.sum("n"), F.lit(0)).alias("symbols"))
+
+
+#: Rules in the markdown form that the parser reads.
+EXAMPLE = "## General Rules\n\n### GEN001 — Short functions\n- **Severity**: MEDIUM\n- **Language**: all\n- Keep functions under 50 lines.\n- **Bad:**\n```\nlong\n```\n- **Good:**\n```\nshort\n```\n\n### SEC001 - No secrets\n- **Severity**: CRITICAL\n- **Category**: security\n- Read them from a store.\n\n## Python Rules\n\n### PY001 — Type hints\n- **Severity**: LOW\n- **Language**: python\n- Annotate.\n"
+
+
+@query("SELECT * FROM (VALUES ('GEN001', 'all', 'general', 'MEDIUM', 'Short functions'), ('SEC001', 'all', 'security', 'CRITICAL', 'No secrets'), ('PY001', 'python', 'python', 'LOW', 'Type hints')) t(rule_id, language, category, severity, title)")
+def q_rules(spark: SparkSession, d: str) -> DataFrame:
+    texts = spark.createDataFrame([("example.md", EXAMPLE)], "name string, text string")
+    return standards.rules(texts).select("rule_id", "language", "category", "severity", "title")
+
+
+@query(
+    """WITH r AS (SELECT * FROM (VALUES ('GEN001', 'all', 2), ('SEC001', 'all', 0), ('PY001', 'python', 3)) t(rule_id, l, rank)), c AS (SELECT DISTINCT language FROM chunks WHERE language IS NOT NULL)
+    SELECT language, rule_id, row_number() OVER (PARTITION BY language ORDER BY rank, rule_id) AS rank FROM c JOIN r ON l = language OR l = 'all'"""
+)
+def q_rules_for_language(spark: SparkSession, d: str) -> DataFrame:
+    texts = spark.createDataFrame([("example.md", EXAMPLE)], "name string, text string")
+    languages = table(spark, d, "chunks").where("language IS NOT NULL").select("language").distinct()
+    return standards.for_languages(standards.rules(texts), languages).select("language", "rule_id", "rank")
