@@ -2,7 +2,7 @@
 
 Header and layout rules judge each file by itself. Vendored code is what unrelated repositories share: every file has
 a digest, every directory the digest of all below it, and a subtree (or file) with the same digest under another
-owner is a copy. Directory digests combine their children's by exclusive or, so one aggregation over (directory,
+owner is a copy. Directory digests add up their files' hashes, so one aggregation over (directory,
 file) pairs builds all levels bottom-up and no directory's children are ever gathered in one place.
 """
 
@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm import lexing
+from lodestone.functions import lexing
+from lodestone.session import cut
 
 #: Lock files by name (lower case).
 LOCK_NAMES = (
@@ -143,10 +144,11 @@ def subtrees(leaf: DataFrame) -> DataFrame:
     parts = F.split(F.col("path"), "/")
     above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
     spread = leaf.where(F.size(parts) > 1).select("repo_name", F.explode(above).alias("dir"), "d1", "d2", "tiny")
-    # a file's digest is hashed with a constant first, so a directory of one file differs from the file
-    return spread.groupBy("repo_name", "dir").agg(
-        F.bit_xor(F.xxhash64(F.lit(1), "d1", "d2")).alias("d1"), F.bit_xor(F.xxhash64(F.lit(2), "d1", "d2")).alias("d2"), F.count("*").alias("files"), F.count_if(~F.col("tiny")).alias("solid")
-    )
+    # a file's digest is hashed with a constant first, so a directory of one file differs from the file; sums of 32 bits of each
+    # hash tell how often a digest occurs, where an exclusive or would cancel two equal files
+    halves = [F.sum(part).alias(f"h{i}{j}") for i in (1, 2) for j, part in enumerate((F.xxhash64(F.lit(i), "d1", "d2").bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned(F.xxhash64(F.lit(i), "d1", "d2"), 32)))]
+    nodes = spread.groupBy("repo_name", "dir").agg(*halves, F.count("*").alias("files"), F.count_if(~F.col("tiny")).alias("solid"))
+    return nodes.select("repo_name", "dir", F.xxhash64("h10", "h11", "files").alias("d1"), F.xxhash64("h20", "h21", "solid").alias("d2"), "files", "solid")
 
 
 def _shared(nodes: DataFrame) -> DataFrame:
@@ -163,9 +165,7 @@ def not_hand_written(files: DataFrame, tiny: int = 200) -> DataFrame:
     repo_name before `__`). Ties between kinds: the rules' verdict wins over the tree's. An empty table gives no rows.
     """
     leaf = leaves(files).withColumn("tiny", F.col("size") < tiny)
-    from lodestone.session import cut
-
-    leaf = cut(leaf)  # a few dozen bytes per file; the texts are read once
+    leaf = cut(leaf.distinct())  # a few dozen bytes per file; the texts are read once
     copies = leaf.where(~F.col("tiny")).join(_shared(leaf.where(~F.col("tiny"))), ["d1", "d2"], "left_semi").select("file_id", F.lit("vendored").alias("kind"))
     trees = subtrees(leaf).where((F.col("solid") > 0) & (F.col("files") > F.col("solid")))
     shared = trees.join(_shared(trees), ["d1", "d2"], "left_semi").select("repo_name", "dir")

@@ -27,9 +27,9 @@ LOOK_ALIKES = {
     "օ": "o", "ո": "n", "ս": "u", "հ": "h", "ց": "g", "զ": "q", "Տ": "S", "Օ": "O", "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P", "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮓ": "Z",
 }
 #: Single blanks.
-BLANKS = "\t               　"
+BLANKS = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 #: Characters without width.
-NO_WIDTH = "­͏؜᠎​‌‍‎‏⁠⁡⁢⁣⁤﻿︀︁︂︃︄︅︆︇︈︉︊︋︌︍︎️"
+NO_WIDTH = "\u00ad\u034f\u061c\u180e\u200b\u200c\u200d\u200e\u200f\u2060\u2061\u2062\u2063\u2064\ufeff\ufe00\ufe01\ufe02\ufe03\ufe04\ufe05\ufe06\ufe07\ufe08\ufe09\ufe0a\ufe0b\ufe0c\ufe0d\ufe0e\ufe0f"
 
 
 def _table() -> dict[int, str | None]:
@@ -44,10 +44,10 @@ def _table() -> dict[int, str | None]:
 
 _TABLE = _table()
 #: Joiners and selectors that change how their neighbours look: within pictographs, and in scripts whose letters join.
-_PICTURE = "[←-⇿⌀-⏿①-➿⤀-⥿⬀-⯿〰〽㊗㊙\U0001f000-\U0001faff]"
-_JOINING = "[؀-ࣿऀ-෿က-႟ក-៿]"
-_KEPT = re.compile(f"(?<={_PICTURE})[︎️]|(?:(?<={_PICTURE})|(?<={_PICTURE}️)|(?<=[\U0001f3fb-\U0001f3ff]))‍(?={_PICTURE})|(?<={_JOINING})[‌‍](?={_JOINING})")
-_MARKS = {"︎": "", "️": "", "‍": "", "‌": ""}
+_PICTURE = "[\u2190-\u21ff\u2300-\u23ff\u2460-\u27bf\u2900-\u297f\u2b00-\u2bff\u3030\u303d\u3297\u3299\U0001f000-\U0001faff]"
+_JOINING = "[\u0600-\u08ff\u0900-\u0dff\u1000-\u109f\u1780-\u17ff]"
+_KEPT = re.compile(f"(?<={_PICTURE})[\ufe0e\ufe0f]|(?:(?<={_PICTURE})|(?<={_PICTURE}\ufe0f)|(?<=[\U0001f3fb-\U0001f3ff]))\u200d(?={_PICTURE})|(?<={_JOINING})[\u200c\u200d](?={_JOINING})")
+_MARKS = {"\ufe0e": "\ue0f0", "\ufe0f": "\ue0f1", "\u200d": "\ue0f2", "\u200c": "\ue0f3"}
 _BACK = {ord(v): k for k, v in _MARKS.items()}
 
 
