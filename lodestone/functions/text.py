@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: What ends a line for splitlines().
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
@@ -128,8 +129,11 @@ def graded(value: Column, good: Column, fair: Column, higher: bool) -> Column:
 
 def _tabs(lines: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in lines:
-        t = s.str.expandtabs(4)
-        yield t.where(t.isna() | (t.str.len() <= 120), t.str.slice(0, 120) + "…")
+        yield s.map(lambda x: None if x is None else _cut(x.expandtabs(4)))
+
+
+def _cut(line: str, width: int = 120) -> str:
+    return line if len(line) <= width else line[:width] + "…"
 
 
 def _wrapped(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -140,6 +144,6 @@ def _wrapped(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 #: Tab stops of four and at most 120 characters (by column, so it needs Python; batches come by Arrow).
-tabs_expanded = F.pandas_udf("string")(_tabs)
+tabs_expanded = F.pandas_udf(StringType())(_tabs)
 #: Lines of 72 characters at most (Python, by Arrow).
-wrapped = F.pandas_udf("string")(_wrapped)
+wrapped = F.pandas_udf(StringType())(_wrapped)

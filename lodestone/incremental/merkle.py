@@ -52,7 +52,8 @@ def changed_leaves(saved: DataFrame, current: DataFrame, fanout_bits: int = 4, l
         a = a.select("node", F.col("d1").alias("a1"), F.col("d2").alias("a2"), F.col("n").alias("an"))
         both = a.join(b.select("node", "d1", "d2", "n"), "node", "full_outer")
         differ = both.where(~(F.col("a1").eqNullSafe(F.col("d1")) & F.col("a2").eqNullSafe(F.col("d2")) & F.col("an").eqNullSafe(F.col("n"))))
-        open_nodes = differ.select(F.col("node").alias("parent"))
+        # few rows; without the cut each level would plan the one above twice
+        open_nodes = cut(differ.select(F.col("node").alias("parent")))
     return open_nodes.select(F.col("parent").alias("node"))
 
 
