@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 KEYWORDS = (
     "pass", "pwd", "secret", "token", "key", "credential", "auth", "bearer", "login", "private", "://", "akia", "asia",
     "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "sk_live_", "sk_test_", "rk_live_", "xoxb-", "xoxp-",
-    "xoxa-", "xoxs-", "xoxr-", "eyj", "aiza", "npm_", "sg.", "hf_", "dop_v1_", "-----begin", "hooks.",
+    "xoxa-", "xoxs-", "xoxr-", "eyj", "aiza", "npm_", "sg.", "hf_", "dop_v1_", "-----begin", "hooks.", "curl", "wget", "redis-cli", "mysql", "mariadb", "psql", "docker",
 )
 
 #: issuers' formats. The group `v` is the credential.
@@ -47,6 +47,7 @@ _OF_ISSUER = {
     "aws": ("akia", "asia"), "github": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_"), "gitlab": ("glpat-",), "stripe": ("sk_live_", "sk_test_", "rk_live_"),
     "slack": ("xoxb-", "xoxp-", "xoxa-", "xoxs-", "xoxr-"), "google": ("aiza",), "npm": ("npm_",), "mail": ("sg.",), "hub": ("hf_",), "cloud": ("dop_v1_",), "jwt": ("eyj",), "webhook": ("hooks.",), "url": ("://",),
 }
+_COMMANDS = {"curl", "wget", "redis-cli", "mysql", "mariadb", "docker", "pass"}
 _BY_KEYWORD = {k: (n, p) for n, p in _ISSUER for k in _OF_ISSUER[n]}
 _BEGIN = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _BLOCK = re.compile(_BEGIN.pattern + r"(?P<v>.*?)(?=-----END|[\"'`]|\Z)", re.S)
@@ -66,7 +67,12 @@ _PLACEHOLDER = re.compile(
     r"|^[<\[({].*[>\])}]$|\$\{|\{\{|\{[a-z_][\w.]*\}|%[sd(]|^%\w+%$|^\$|^@|^env[.:]|^vault[:/]|^ssm[:/]|^arn:|^secret[s]?[:/]|^(?:file|ref)[:/]"
     r"|your[-_ ]|my[-_ ]|[-_ ]here$|^(?:insert|enter|set|put|add|use|provide|fill)[-_ ]|change-?me|example|placeholder|dummy|redacted|\*{3,}|x{6,}|•{2,}|^<|>$"
 )
-_DIGEST_NAME = re.compile(r"(?i)(?:sha\d*|md5|etag|digest|checksum|hash|commit|revision|fingerprint|integrity|uuid|guid|nonce)")
+#: Commands that take a password on their line.
+_COMMAND = re.compile(
+    r"\b(?:curl|wget|https?)\b[^\r\n\"'`]*?\s(?:-u|--user|--proxy-user)[ =][^\s:\"'`]+:(?P<a>[^\s\"'`]{4,})|\bsshpass\s+-p\s*(?P<b>[^\s\"'`]{4,})|\bredis-cli\b[^\r\n\"'`]*?\s-a\s+(?P<c>[^\s\"'`]{4,})"
+    r"|\b(?:mysql\w*|mariadb\w*)\b[^\r\n\"'`]*?\s-p(?P<d>[^\s\"'`]{4,})|\bdocker\s+login\b[^\r\n\"'`]*?\s(?:-p|--password)[ =](?P<e>[^\s\"'`]{4,})|\s--password[ =](?P<f>[^\s\"'`]{4,})"
+)
+_INSIDE = re.compile(r"(?i)(?:^|[;&?\s])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|access[_-]?token|client[_-]?secret|auth[_-]?token)=(?P<v>[^\s;&,]{6,})")
 _STRING = re.compile(r'"""|\'\'\'|"(?P<d>(?:[^"\\\r\n]|\\.)*)"|\'(?P<s>(?:[^\'\\\r\n]|\\.)*)\'|`(?P<b>(?:[^`\\\r\n]|\\.)*)`')
 _JOIN = re.compile(r"\s*(?:[+.&]|\\)?\s*\Z")
 _NAME_BEFORE = re.compile(r"(?:^|[^\w$.-])[\"'`]?([A-Za-z_$][\w$.-]*)[\"'`]?\s*(?::\s*[\w<>\[\]?. ]+)?\s*(?::=|=>|=|:)\s*(?:[bfru@$]{0,2})?\(?\s*\Z")
@@ -180,6 +186,10 @@ def _in_lines(content: str, start: int, stop: int, first_end: int, words: set[st
         for m in pattern.finditer(line):
             if _issuer_ok(kind, m.group("v")):
                 out.append((start + m.start("v"), start + m.end("v"), kind))
+    for m in _COMMAND.finditer(line) if words & _COMMANDS else ():
+        a, b = m.span(m.lastgroup)
+        if secret_like(line[a:b]):
+            out.append((start + a, start + b, "command"))
     text = content[start:stop].rstrip("\r\n")
     groups: list[list[tuple[int, int, str]]] = []
     last = None
@@ -218,19 +228,21 @@ def _in_lines(content: str, start: int, stop: int, first_end: int, words: set[st
                 name = m.group(1)
                 if "@" not in name and not credential_name(name):
                     name = ""
-            if name and credential_name(name) and not _DIGEST_NAME.search(name) and secret_like(value):
+            if name and credential_name(name) and secret_like(value):
                 kind = "named"
             elif re.search(r"(?i)\b(?:login|authenticate|auth|connect|signin|sign_in)\s*\([^()]*[\"'`],\s*[\"'`]?\Z", before) and secret_like(value):
                 kind = "login"
             elif re.search(r"(?i)(?:getenv|environ\.get|env|process\.env\.\w+|System\.getenv|readEnv|fromEnvironment)\b[^\r\n]*?[\"'`]([\w.\-]+)[\"'`]\s*(?:,|\?\?|\|\||\?:)\s*(?:default\w*\s*[=:]\s*)?\Z", before) and secret_like(value) and (m := re.search(r"[\"'`]([\w.\-]+)[\"'`]\s*(?:,|\?\?|\|\||\?:|\)\s*(?:\?\?|\|\||\?:|or))\s*(?:default\w*\s*[=:]\s*)?\Z", before)) and credential_name(m.group(1)):
                 kind = "default"
+        if not kind and len(g) == 1 and (m := _INSIDE.search(value)) and secret_like(m.group("v")):
+            out.append((start + at + m.start("v"), start + at + m.end("v"), "inside"))
         if kind:
             out.append((start + g[0][0], start + g[0][1], kind))
             out += [(start + a, start + b, "part") for a, b, _ in g[1:]]
     if not out:
         if m := _BARE.match(line):
             value = m.group("v").rstrip(",;")
-            if credential_name(m.group(1)) and not _DIGEST_NAME.search(m.group(1)) and secret_like(value) and not re.search(r"[()\[\]{}]|^[a-zA-Z_][\w]*(?:\.[a-zA-Z_]\w*)+$", value) and re.search(r"\d", value) and not re.match(r"^-?[\d.]+\w?$", value):
+            if credential_name(m.group(1)) and secret_like(value) and not re.search(r"[()\[\]{}]|^[a-zA-Z_][\w]*(?:\.[a-zA-Z_]\w*)+$", value) and re.search(r"\d", value) and not re.match(r"^-?[\d.]+\w?$", value):
                 if re.match(r"^\s*(?:export\s+)?[A-Za-z_\"'][\w.\"'-]*\s*[:=]\s*\S+$", line) and not re.search(r"^\w+\[|\w\s*[*+/-]\s*\w", line.split("=", 1)[-1] if " = " in line else ""):
                     if not re.match(r"^[A-Za-z_]\w*$", value) or re.match(r"^\s*(?:export\s+)?[A-Z][A-Z0-9_]*=", line) or ":" in line and not line.rstrip().endswith((";", "{", ",")):
                         out.append((start + m.start("v"), start + m.start("v") + len(value), "bare"))
@@ -238,7 +250,7 @@ def _in_lines(content: str, start: int, stop: int, first_end: int, words: set[st
         if comment and not out:
             tail = line[comment.end() :]
             for p in (_HEADER, _NOTE):
-                if (m := p.search(tail)) and secret_like(m.group("v")) and len(m.group("v")) >= 8 and re.search(r"\d", m.group("v")) and not _DIGEST_NAME.search(m.group(0)[: m.start("v") - m.start()]):
+                if (m := p.search(tail)) and secret_like(m.group("v")) and len(m.group("v")) >= 8 and re.search(r"\d", m.group("v")):
                     out.append((start + comment.end() + m.start("v"), start + comment.end() + m.end("v"), "comment"))
                     break
     return out
