@@ -21,6 +21,11 @@ def chunks_once(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     return table(spark, d, "chunks").select(*(columns or _COLUMNS)).distinct()
 
 
+def chunk_texts(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """The chunks as delivered, for queries that turn texts into small rows first and make those distinct: texts aren't shuffled."""
+    return table(spark, d, "chunks").select(*columns)
+
+
 @query(
     f"""WITH f AS (SELECT file_id, {sql_lines('content')} AS ls FROM repo_file WHERE content IS NOT NULL),
      w AS (SELECT file_id, ls, unnest(generate_series(1, len(ls), 45))::INT AS start_line FROM f)
@@ -34,7 +39,7 @@ def q_windows_60_45(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT DISTINCT chunk_id, CASE WHEN len({sql_lines('content')}) = 0 THEN '0' ELSE array_to_string(list_append(generate_series(0, len({sql_lines('content')}) - 1, 5), len({sql_lines('content')})), ',') END AS offsets FROM chunks WHERE content IS NOT NULL")
 def q_sentence_offsets(spark: SparkSession, d: str) -> DataFrame:
     n = F.size(T.lines(F.col("content")))
-    return chunks_once(spark, d, "chunk_id", "content").where("content IS NOT NULL").select("chunk_id", F.array_join(C.sentence_offsets(n).cast("array<string>"), ",").alias("offsets"))
+    return chunk_texts(spark, d, "chunk_id", "content").where("content IS NOT NULL").select("chunk_id", n.alias("n")).distinct().select("chunk_id", F.array_join(C.sentence_offsets(F.col("n")).cast("array<string>"), ",").alias("offsets"))
 
 
 @query("SELECT chunk_id, lag(chunk_id) OVER w AS prev_id, lead(chunk_id) OVER w AS next_id FROM (SELECT DISTINCT chunk_id, repo_name, file_path, start_line FROM chunks) WINDOW w AS (PARTITION BY repo_name, file_path ORDER BY start_line NULLS FIRST, chunk_id)")
@@ -53,8 +58,8 @@ def q_parent_first(spark: SparkSession, d: str) -> DataFrame:
 
 def _spans(spark: SparkSession, d: str) -> DataFrame:
     n = F.size(T.lines(F.col("content")))
-    c = chunks_once(spark, d, "chunk_id", *FILE, "chunk_type", "start_line", "content").where("chunk_type <> 'module' AND content IS NOT NULL AND start_line IS NOT NULL")
-    return c.select(*FILE, "start_line", (F.col("start_line") + n - 1).alias("end_line")).where("end_line >= start_line")
+    c = chunk_texts(spark, d, *FILE, "chunk_type", "start_line", "content").where("chunk_type <> 'module' AND content IS NOT NULL AND start_line IS NOT NULL")
+    return c.select(*FILE, "start_line", (F.col("start_line") + n - 1).alias("end_line")).where("end_line >= start_line").distinct()
 
 
 _SQL_SPANS = f"spans AS (SELECT repo_name, file_path, start_line, start_line + len({sql_lines('content')}) - 1 AS end_line FROM (SELECT DISTINCT chunk_id, repo_name, file_path, chunk_type, start_line, content FROM chunks) WHERE chunk_type <> 'module' AND content IS NOT NULL AND start_line IS NOT NULL AND len({sql_lines('content')}) > 0)"
@@ -85,8 +90,8 @@ def q_gap_fill(spark: SparkSession, d: str) -> DataFrame:
 )
 def q_long_symbol_parts(spark: SparkSession, d: str) -> DataFrame:
     n = F.size(T.lines(F.col("content")))
-    s = chunks_once(spark, d, "chunk_id", "chunk_type", "start_line", "content").where("chunk_type IN ('function', 'method', 'block', 'class') AND content IS NOT NULL AND start_line IS NOT NULL")
-    return C.parts(s.select("chunk_id", "start_line", (F.col("start_line") + n - 1).alias("end_line"))).select("chunk_id", "part", "part_start", "part_end", "label")
+    s = chunk_texts(spark, d, "chunk_id", "chunk_type", "start_line", "content").where("chunk_type IN ('function', 'method', 'block', 'class') AND content IS NOT NULL AND start_line IS NOT NULL")
+    return C.parts(s.select("chunk_id", "start_line", (F.col("start_line") + n - 1).alias("end_line")).distinct()).select("chunk_id", "part", "part_start", "part_end", "label")
 
 
 _SQL_PRE = C.PREAMBLE.replace("'", "''")

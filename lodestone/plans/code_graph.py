@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.operators import graph as G
 from lodestone.operators import layers as L
 from lodestone.operators import symbols as S
-from lodestone.plans.chunking import chunks_once
+from lodestone.plans.chunking import chunk_texts, chunks_once
 from lodestone.plans.registry import query
 from lodestone.sources.tables import table
 
@@ -35,8 +35,8 @@ def symbols(spark: SparkSession, d: str) -> DataFrame:
 
 
 def resolved(spark: SparkSession, d: str) -> DataFrame:
-    c = chunks_once(spark, d, "chunk_id", "repo_name", "file_path", "chunk_type", "symbol_name", "parent_symbol", "content")
-    return S.resolve_calls(S.calls(c), symbols(spark, d))
+    c = chunk_texts(spark, d, "chunk_id", "repo_name", "file_path", "chunk_type", "symbol_name", "parent_symbol", "content")
+    return S.resolve_calls(S.calls(c).distinct(), symbols(spark, d))
 
 
 @query(f"WITH {_SYMBOLS}, {_first('repo_name, file_path, name', 'f')} SELECT repo_name, file_path, name, f_id AS chunk_id FROM f")
@@ -61,11 +61,11 @@ def q_resolution_rates(spark: SparkSession, d: str) -> DataFrame:
     SELECT b2.chunk_id, name AS base, n_id AS target FROM b2 JOIN n USING (repo_name, name) WHERE name <> ''"""
 )
 def q_resolve_bases(spark: SparkSession, d: str) -> DataFrame:
-    return S.resolve_bases(chunks_once(spark, d, "chunk_id", "repo_name", "chunk_type", "content"), symbols(spark, d))
+    return S.resolve_bases(chunk_texts(spark, d, "chunk_id", "repo_name", "chunk_type", "content"), symbols(spark, d))
 
 
 def _imports(spark: SparkSession, d: str) -> DataFrame:
-    c = chunks_once(spark, d, "chunk_id", "repo_name", "file_path", "chunk_type", "content").where("chunk_type = 'import' AND content IS NOT NULL")
+    c = chunk_texts(spark, d, "chunk_id", "repo_name", "file_path", "chunk_type", "content").where("chunk_type = 'import' AND content IS NOT NULL")
     module = F.coalesce(F.nullif(F.regexp_extract("line", r"^\s*(?:from|import)\s+([\w./]+)", 1), F.lit("")), F.nullif(F.regexp_extract("line", r"from\s+[\"']([^\"']+)[\"']", 1), F.lit("")))
     lines = c.select("chunk_id", "repo_name", "file_path", F.explode(F.split("content", r"\r\n|\n|\r")).alias("line"))
     return lines.select("chunk_id", "repo_name", "file_path", module.alias("module")).where("module IS NOT NULL").distinct()

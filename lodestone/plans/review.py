@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as T
 from lodestone.operators import review as V
 from lodestone.plans import rules as _rules
-from lodestone.plans.chunking import chunks_once
+from lodestone.plans.chunking import chunk_texts
 from lodestone.plans.corpus import sql_lines
 from lodestone.plans.registry import query
 from lodestone.sources.tables import table
@@ -96,8 +96,8 @@ def q_consensus(spark: SparkSession, d: str) -> DataFrame:
     SELECT chunk_id, bundle FROM w"""
 )
 def q_bundle(spark: SparkSession, d: str) -> DataFrame:
-    c = chunks_once(spark, d, "repo_name", "file_path", "chunk_id", "chunk_type", "start_line", "content").where("content IS NOT NULL AND start_line IS NOT NULL AND chunk_type IN ('function', 'method', 'class', 'block')")
-    sized = c.select("repo_name", "file_path", "start_line", "chunk_id", F.size(T.lines(F.col("content"))).alias("n"))
+    c = chunk_texts(spark, d, "repo_name", "file_path", "chunk_id", "chunk_type", "start_line", "content").where("content IS NOT NULL AND start_line IS NOT NULL AND chunk_type IN ('function', 'method', 'class', 'block')")
+    sized = c.select("repo_name", "file_path", "start_line", "chunk_id", F.size(T.lines(F.col("content"))).alias("n")).distinct()
     return V.bundles(sized, ["repo_name", "file_path"], ["start_line", "chunk_id"]).select("chunk_id", "bundle")
 
 
@@ -123,7 +123,6 @@ _SNIP = f"""WITH {_rules._SQL}, v AS (SELECT chunk_id, start_line, ls, i FROM (S
 
 @query(_SNIP)
 def q_snippets(spark: SparkSession, d: str) -> DataFrame:
-    c = chunks_once(spark, d, "chunk_id", "chunk_type", "content").where("content IS NOT NULL AND chunk_type IN ('function', 'method')").withColumn("ls", T.lines(F.col("content")))
-    hits = c.select("chunk_id", "ls", F.posexplode("ls").alias("i", "line")).where(F.col("line").contains("return"))
-    at = F.col("i") + 1
-    return hits.select("chunk_id", at.alias("at"), V.snippet(F.col("ls"), at, at).alias("snippet"))
+    c = chunk_texts(spark, d, "chunk_id", "chunk_type", "content").where("content IS NOT NULL AND chunk_type IN ('function', 'method')").withColumn("ls", T.lines(F.col("content")))
+    hits = F.filter(F.transform("ls", lambda x, i: F.when(x.contains("return"), i + 1)), lambda i: i.isNotNull())
+    return c.select("chunk_id", "ls", F.explode(hits).alias("at")).select("chunk_id", "at", V.snippet(F.col("ls"), F.col("at"), F.col("at")).alias("snippet")).distinct()

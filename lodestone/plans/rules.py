@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators import rules as R
-from lodestone.plans.chunking import chunks_once
+from lodestone.plans.chunking import chunk_texts
 from lodestone.plans.corpus import sql_lines
 from lodestone.plans.registry import query
 
@@ -18,8 +18,8 @@ _FN = "chunk_type IN ('function', 'method')"
 
 
 def _of(spark: SparkSession, d: str, rule: str) -> DataFrame:
-    c = chunks_once(spark, d, "chunk_id", "repo_name", "file_path", "language", "chunk_type", "symbol_name", "start_line", "content", "parent_symbol")
-    return R.violations(c, tuple(r for r in R.RULES if rule in ("", r.rule_id)))
+    c = chunk_texts(spark, d, "chunk_id", "file_path", "language", "chunk_type", "symbol_name", "start_line", "content", "parent_symbol")
+    return R.violations(c, tuple(r for r in R.RULES if rule in ("", r.rule_id))).distinct()
 
 
 @query(f"WITH {_SQL} SELECT chunk_id, 'GEN001' AS rule_id, 'MEDIUM' AS severity, start_line AS line FROM c WHERE {_FN} AND len(list_filter(ls, lambda x: trim(x) <> '' AND NOT regexp_matches(x, '^\\s*(?:#|//)'))) > 50")
@@ -76,4 +76,4 @@ def q_violations(spark: SparkSession, d: str) -> DataFrame:
       AND (language <> 'rust' OR regexp_matches(head, '\\bpub\\b')) AND NOT contains(lower(parent_symbol), 'test') GROUP BY 1, 2 HAVING count(*) > 3"""
 )
 def q_god_class(spark: SparkSession, d: str) -> DataFrame:
-    return R.god_classes(chunks_once(spark, d, "chunk_id", "repo_name", "chunk_type", "language", "symbol_name", "parent_symbol", "content"), most=3)
+    return R.god_classes(chunk_texts(spark, d, "chunk_id", "repo_name", "chunk_type", "language", "symbol_name", "parent_symbol", "content"), most=3)
