@@ -210,7 +210,7 @@ def _in_lines(content: str, start: int, stop: int, first_end: int, words: set[st
         if at - 1 >= len(line):  # begins on a later line: only what follows an open bracket belongs here
             if not re.search(r"[=(:]\s*\Z", line):
                 continue
-        before = text[: at - 1]
+        before = text[max(0, at - 401) : at - 1]  # a name or call stands close by
         kind = ""
         if len(g) > 1:
             kind = next((k for k, p in _ISSUER if (m := p.search(value)) and _issuer_ok(k, m.group("v"))), "")
