@@ -164,3 +164,23 @@ def test_package_names_no_training_text():
     for p in root.rglob("*.py"):
         if "llm" not in p.relative_to(root).parts:
             assert not re.search(r"lodestone\.llm", p.read_text()), p
+
+
+def test_long_parts(spark):
+    import random
+
+    from lodestone.operators.context import long_parts
+
+    rng = random.Random(3)
+    rows = [(f"s{i}", rng.randrange(1, 50), n) for i, n in enumerate([151, 160, 300, 1000, 2345, 100])]
+    s = spark.createDataFrame([(k, a, a + n - 1) for k, a, n in rows], "chunk_id string, start_line int, end_line int")
+    blanks = {k: sorted(rng.sample(range(a, a + n), n // 12)) for k, a, n in rows if k != "s1"}
+    b = spark.createDataFrame(list(blanks.items()), "chunk_id string, lines array<int>")
+    out = {}
+    for r in long_parts(s, b).orderBy("chunk_id", "part").collect():
+        out.setdefault(r.chunk_id, []).append((r.part_start, r.part_end))
+    assert set(out) == {"s0", "s1", "s2", "s3", "s4"}
+    for k, a, n in rows[:5]:
+        p = out[k]
+        assert p[0][0] == a and p[-1][1] == a + n - 1 and all(y - x < 150 for x, y in p)
+        assert all(c == y - 14 for (_, y), (c, _) in zip(p, p[1:])) and all(y in blanks.get(k, []) or y == x + 149 for x, y in p[:-1])
