@@ -29,6 +29,25 @@ def lines(c: Column) -> Column:
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
+def line_count(c: Column) -> Column:
+    """How many lines() there are, without making them."""
+    last = F.right(c, F.lit(1))
+    ended = last.rlike(rf"(?s)^(?:{LINE_END})$")
+    return F.when(c == "", 0).otherwise(F.regexp_count(c, F.lit(LINE_END)) + F.when(ended, 0).otherwise(1))
+
+
+def first_lines(c: Column, most: int) -> Column:
+    """The first lines of a text, without splitting the rest."""
+    parts = F.split(c, LINE_END, most + 1)
+    return F.slice(F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts), 1, most)
+
+
+def first_filled_line(c: Column) -> Column:
+    """The first line that holds more than spaces, '' if none does."""
+    end = r"\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}"
+    return F.regexp_extract(c, rf"([^{end}]*[^ {end}][^{end}]*)", 1)
+
+
 def newline_count(c: Column) -> Column:
     """Line feeds plus one."""
     return F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit(""))) + 1

@@ -57,12 +57,13 @@ def gaps(spans: DataFrame, sizes: DataFrame, key: list[str], least: int = 20) ->
 
     A file without spans is one gap. Spans beyond the file are cut at its end.
     """
-    merged = islands(spans, key).join(sizes, key)
-    w = Window.partitionBy(*key).orderBy("start_line")
-    before = merged.select(*key, (F.coalesce(F.lag("end_line").over(w), F.lit(0)) + 1).alias("a"), (F.least(F.col("start_line"), F.col("n") + 1) - 1).alias("b"))
-    after = merged.groupBy(*key).agg((F.max("end_line") + 1).alias("a"), F.max("n").alias("b"))
-    none = sizes.join(spans.select(*key).distinct(), key, "left_anti").select(*key, F.lit(1).alias("a"), F.col("n").alias("b"))
-    return before.unionByName(after).unionByName(none).where(F.col("b") - F.col("a") + 1 >= least).select(*key, F.col("a").alias("start_line"), F.col("b").alias("end_line"))
+    # a file's end is one more span, right behind its last line: then every gap lies before a span, and one pass finds all
+    ends = sizes.select(*key, (F.col("n") + 1).alias("start_line"), (F.col("n") + 1).alias("end_line"), "n")
+    rows = spans.select(*key, "start_line", "end_line", F.lit(None).cast("int").alias("n")).unionByName(ends)
+    before = Window.partitionBy(*key).orderBy("start_line", "end_line").rowsBetween(Window.unboundedPreceding, -1)
+    free = rows.withColumns({"a": F.coalesce(F.max("end_line").over(before), F.lit(0)) + 1, "n": F.max("n").over(Window.partitionBy(*key))})
+    out = free.withColumn("b", F.least(F.col("start_line") - 1, F.col("n"))).where(F.col("n").isNotNull() & (F.col("b") - F.col("a") + 1 >= least))
+    return out.select(*key, F.col("a").alias("start_line"), F.col("b").alias("end_line"))
 
 
 #: Lines that belong to a module's preamble.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import lines, newline_count
+from lodestone.functions.text import first_filled_line, first_lines, newline_count
 
 #: Languages by extension.
 EXTENSIONS = {
@@ -53,10 +53,10 @@ def file_flags(files: DataFrame, path: str = "path", content: str = "content") -
     parts = F.split(p, "/")
     name, dirs = F.element_at(parts, -1), F.slice(parts, 1, F.size(parts) - 1)
     ext = F.lower(F.regexp_extract(name, r"[^.](\.[^.]+)$", 1))
-    rows = lines(c)
-    first = F.coalesce(F.try_element_at(F.filter(rows, lambda x: F.trim(x) != ""), F.lit(1)), F.lit(""))
+    rows = first_lines(c, 5)
+    first = first_filled_line(c)
     binary = F.substring(c, 1, 8192).contains("\x00")
-    generated = _any(*(name.endswith(x) for x in GENERATED_ENDS), F.exists(F.slice(rows, 1, 5), lambda x: _any(*(x.contains(m) for m in GENERATED_MARKS))))
+    generated = _any(*(name.endswith(x) for x in GENERATED_ENDS), F.exists(rows, lambda x: _any(*(x.contains(m) for m in GENERATED_MARKS))))
     flags = {
         "is_generated": generated,
         "is_minified": name.contains(".min.") | (F.length(first) > 500),

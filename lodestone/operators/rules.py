@@ -74,12 +74,18 @@ def parameters() -> Column:
         )
         return F.when(s["done"], s).otherwise(after)
 
-    chars = F.filter(F.split(text, ""), lambda x: x != "")
-    end = F.aggregate(chars, start, step)
+    # runs of other characters pass as one step
+    end = F.aggregate(F.regexp_extract_all(text, F.lit(r"([(),<>\[\]]|[^(),<>\[\]]+)"), 1), start, step)
     first = F.trim(F.regexp_replace(end["first"], r"\s+", " "))
     return F.when(end["open"], end["n"] + 1 - first.isin(*RECEIVERS).cast("int")).otherwise(0)
 
 
+def commas() -> Column:
+    """How many commas the first 15 lines have: as many as there are parameters less one, at least."""
+    text = F.array_join(F.slice("ls", 1, 15), "\n")
+    return F.length(text) - F.length(F.replace(text, F.lit(","), F.lit("")))
+
+
 def _mounted() -> Column:
     """First use of context after each await that no check of mounted precedes."""
     start = F.struct(F.lit(False).alias("awaited"), F.lit(False).alias("checked"), F.array().cast("array<int>").alias("hits"), F.lit(0).alias("i"))
@@ -111,7 +117,7 @@ RULES = (
     Rule("GEN001", "MEDIUM", lambda: _whole(_function() & (code_lines() > 50))),
     Rule("SEC001", "CRITICAL", lambda: _only(~F.coalesce(F.col("file_path").rlike(TEST_PATH), F.lit(False)), _where(lambda x: x.rlike(SECRET) & ~F.trim(F.regexp_extract(x, SECRET, 1)).rlike(PLACEHOLDER)))),
     Rule("GEN002", "LOW", lambda: F.slice(_only(_function(), _where(lambda x: (F.trim(x) != "") & ~F.trim(x).startswith("#") & ~F.trim(x).rlike(MAGIC_SKIP) & F.trim(x).rlike(MAGIC_CONTEXT) & F.trim(x).rlike(MAGIC))), 1, 3)),
-    Rule("CP013", "MEDIUM", lambda: _whole(_function() & (parameters() > 5))),
+    Rule("CP013", "MEDIUM", lambda: _whole(F.when(_function() & (commas() >= 5), parameters() > 5).otherwise(False))),
     Rule("SW008", "HIGH", lambda: F.slice(_only(_function() & (F.col("language") == "swift") & (F.coalesce("parent_symbol", F.lit("")).contains("ViewController") | F.coalesce("file_path", F.lit("")).contains("ViewController")), _where(lambda x: ~F.trim(x).startswith("//") & x.rlike(NETWORK))), 1, 3)),
     Rule("DA008", "HIGH", lambda: F.slice(_only(_function() & (F.col("language") == "dart"), _mounted()), 1, 3)),
     Rule("PY001", "LOW", lambda: _whole(_function() & (F.col("language") == "python") & ~F.coalesce("symbol_name", F.lit("")).startswith("_") & _unhinted())),

@@ -38,7 +38,7 @@ def q_windows_60_45(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT DISTINCT chunk_id, CASE WHEN len({sql_lines('content')}) = 0 THEN '0' ELSE array_to_string(list_append(generate_series(0, len({sql_lines('content')}) - 1, 5), len({sql_lines('content')})), ',') END AS offsets FROM chunks WHERE content IS NOT NULL")
 def q_sentence_offsets(spark: SparkSession, d: str) -> DataFrame:
-    n = F.size(T.lines(F.col("content")))
+    n = T.line_count(F.col("content"))
     return chunk_texts(spark, d, "chunk_id", "content").where("content IS NOT NULL").select("chunk_id", n.alias("n")).distinct().select("chunk_id", F.array_join(C.sentence_offsets(F.col("n")).cast("array<string>"), ",").alias("offsets"))
 
 
@@ -57,7 +57,7 @@ def q_parent_first(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _spans(spark: SparkSession, d: str) -> DataFrame:
-    n = F.size(T.lines(F.col("content")))
+    n = T.line_count(F.col("content"))
     c = chunk_texts(spark, d, *FILE, "chunk_type", "start_line", "content").where("chunk_type <> 'module' AND content IS NOT NULL AND start_line IS NOT NULL")
     return c.select(*FILE, "start_line", (F.col("start_line") + n - 1).alias("end_line")).where("end_line >= start_line").distinct()
 
@@ -78,7 +78,7 @@ def q_covered_lines(spark: SparkSession, d: str) -> DataFrame:
      SELECT repo_name, file_path, min(line)::INT AS start_line, max(line)::INT AS end_line FROM runs GROUP BY repo_name, file_path, g HAVING count(*) >= 20"""
 )
 def q_gap_fill(spark: SparkSession, d: str) -> DataFrame:
-    sizes = table(spark, d, "repo_file").where("content IS NOT NULL").select("repo_name", F.col("path").alias("file_path"), F.size(T.lines(F.col("content"))).alias("n"))
+    sizes = table(spark, d, "repo_file").where("content IS NOT NULL").select("repo_name", F.col("path").alias("file_path"), T.line_count(F.col("content")).alias("n"))
     return C.gaps(_spans(spark, d), sizes, FILE).select(*FILE, F.col("start_line").cast("int"), F.col("end_line").cast("int"))
 
 
@@ -89,7 +89,7 @@ def q_gap_fill(spark: SparkSession, d: str) -> DataFrame:
      SELECT chunk_id, part, (start_line + (part - 1) * 85)::INT AS part_start, least(start_line + (part - 1) * 85 + 99, end_line)::INT AS part_end, '@split:' || part || '/' || ceil(n / 85.0)::INT AS label FROM p"""
 )
 def q_long_symbol_parts(spark: SparkSession, d: str) -> DataFrame:
-    n = F.size(T.lines(F.col("content")))
+    n = T.line_count(F.col("content"))
     s = chunk_texts(spark, d, "chunk_id", "chunk_type", "start_line", "content").where("chunk_type IN ('function', 'method', 'block', 'class') AND content IS NOT NULL AND start_line IS NOT NULL")
     return C.parts(s.select("chunk_id", "start_line", (F.col("start_line") + n - 1).alias("end_line")).distinct()).select("chunk_id", "part", "part_start", "part_end", "label")
 

@@ -23,7 +23,7 @@ _P95 = f"""n AS (SELECT language, len({sql_lines('content')}) AS n FROM (SELECT
 
 @query(f"WITH {_P95} SELECT language, round(p95, 6) AS p95 FROM p")
 def q_quality_p95(spark: SparkSession, d: str) -> DataFrame:
-    n = chunk_texts(spark, d, "chunk_id", "language", "chunk_type", "content").where("content IS NOT NULL AND chunk_type <> 'module'").select("chunk_id", "language", F.size(T.lines(F.col("content"))).alias("n")).distinct()
+    n = chunk_texts(spark, d, "chunk_id", "language", "chunk_type", "content").where("content IS NOT NULL AND chunk_type <> 'module'").select("chunk_id", "language", T.line_count(F.col("content")).alias("n")).distinct()
     return quality.p95(n, ["language"], "n").select("language", F.round("p95", 6).alias("p95"))
 
 
@@ -41,7 +41,7 @@ def dimensions(spark: SparkSession, d: str) -> DataFrame:
     parsed = f.groupBy("repo_name").agg(ratio(F.col("language").isin("python", "swift", "kotlin", "rust", "dart", "java", "go", "javascript", "typescript"), parseable).alias("value")).withColumn("dim", F.lit("IQ-01"))
     layer = L.labels(F.col("path"))[0]
     unknown = table(spark, d, "repo_file").groupBy("repo_name").agg((F.count_if(layer == "unknown") / F.count("*")).alias("value")).withColumn("dim", F.lit("IQ-04"))
-    sizes = chunk_texts(spark, d, "chunk_id", "repo_name", "chunk_type", "content").where("content IS NOT NULL AND chunk_type <> 'module'").select("chunk_id", "repo_name", F.size(T.lines(F.col("content"))).alias("n")).distinct()
+    sizes = chunk_texts(spark, d, "chunk_id", "repo_name", "chunk_type", "content").where("content IS NOT NULL AND chunk_type <> 'module'").select("chunk_id", "repo_name", T.line_count(F.col("content")).alias("n")).distinct()
     size = quality.p95(sizes, ["repo_name"], "n").select("repo_name", F.col("p95").alias("value"), F.lit("IQ-05").alias("dim"))
     calls = resolved(spark, d).groupBy("repo_name").agg((F.count_if(F.col("via") != "external") / F.count("*")).alias("value")).withColumn("dim", F.lit("IQ-03"))
     return reduce(DataFrame.unionByName, [parsed, unknown, size, calls]).select("repo_name", "dim", F.lit("default").alias("language"), F.round("value", 9).alias("value"))

@@ -97,7 +97,7 @@ def q_consensus(spark: SparkSession, d: str) -> DataFrame:
 )
 def q_bundle(spark: SparkSession, d: str) -> DataFrame:
     c = chunk_texts(spark, d, "repo_name", "file_path", "chunk_id", "chunk_type", "start_line", "content").where("content IS NOT NULL AND start_line IS NOT NULL AND chunk_type IN ('function', 'method', 'class', 'block')")
-    sized = c.select("repo_name", "file_path", "start_line", "chunk_id", F.size(T.lines(F.col("content"))).alias("n")).distinct()
+    sized = c.select("repo_name", "file_path", "start_line", "chunk_id", T.line_count(F.col("content")).alias("n")).distinct()
     return V.bundles(sized, ["repo_name", "file_path"], ["start_line", "chunk_id"]).select("chunk_id", "bundle")
 
 
