@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,14 +27,32 @@ _WORD = re.compile(r"[^\W_]+")
 FILTER_LOG2 = 23
 
 
+#: A run of other characters with the one before it, to which marks may belong.
+_SEGMENT = re.compile(r"[\x00-\x7f]?[^\x00-\x7f]+")
+
+
+@lru_cache(maxsize=1 << 16)
+def _composed(segment: str) -> str:
+    return unicodedata.normalize("NFC", skeleton(segment))
+
+
 def words_of(text: str) -> list[str]:
     """Maximal runs of letters or digits, after look-alike differences and case are set aside."""
-    t = skeleton(text)
-    return _WORD.findall((t if t.isascii() else unicodedata.normalize("NFC", t)).lower())
+    return _WORD.findall((text if text.isascii() else _SEGMENT.sub(lambda m: _composed(m.group()), text)).lower())
+
+
+class _Hashes(dict):
+    """Hashes of words, each computed once."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
 
 
-def _shingles(words: list[str], size: int, cache: dict[str, int]) -> np.ndarray:
-    h = np.fromiter((cache[w] if w in cache else cache.setdefault(w, xxhash.xxh64_intdigest(w)) for w in words), dtype=np.uint64, count=len(words))
+def _shingles(words: list[str], size: int, cache: _Hashes) -> np.ndarray:
+    h = np.fromiter(map(cache.__getitem__, words), dtype=np.uint64, count=len(words))
     n = len(words) - size + 1
     if n < 1:
         return np.empty(0, dtype=np.uint64)
@@ -48,7 +67,7 @@ def _tokens(rows: DataFrame, key: str, text: str, size: int, bits=None) -> DataF
     kind = rows.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, int] = {}
+        cache = _Hashes()
         table = None if bits is None else np.frombuffer(bits.value, dtype=np.uint8)
         for b in batches:
             owner, place, count, token = [], [], [], []
@@ -64,8 +83,6 @@ def _tokens(rows: DataFrame, key: str, text: str, size: int, bits=None) -> DataF
                 place.append(at)
                 count.append(np.full(len(s), len(words)))
                 token.append(s.view(np.int64))
-                if len(cache) > 1_000_000:
-                    cache.clear()
             if owner:
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.concatenate(owner).astype(np.int64))), pa.array(np.concatenate(place).astype(np.int32)), pa.array(np.concatenate(count).astype(np.int32)), pa.array(np.concatenate(token))], names=[key, "pos", "n", "token"])
 

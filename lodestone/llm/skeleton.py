@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -51,10 +52,8 @@ _MARKS = {"\ufe0e": "\ue0f0", "\ufe0f": "\ue0f1", "\u200d": "\ue0f2", "\u200c":
 _BACK = {ord(v): k for k, v in _MARKS.items()}
 
 
-def skeleton(text: str) -> str:
-    """The form in which texts that look the same are equal."""
-    if text.isascii():
-        return text.replace("\t", " ")
+@lru_cache(maxsize=1 << 16)
+def _run(text: str) -> str:
     text = unicodedata.normalize("NFD", text)
     kept = _KEPT.search(text) is not None
     if kept:
@@ -65,6 +64,17 @@ def skeleton(text: str) -> str:
     return unicodedata.normalize("NFD", text)
 
 
+_OTHER = re.compile(r"[^\x00-\x7f]+")
+
+
+def skeleton(text: str) -> str:
+    """The form in which texts that look the same are equal.
+
+    ASCII characters stay, take no part in decompositions and separate the runs of others, which are short and often the same.
+    """
+    return text if text.isascii() else _OTHER.sub(lambda m: _run(m.group()), text)
+
+
 def canonical(texts: DataFrame, key: str = "doc_id", text: str = "text", keep_text: bool = False) -> DataFrame:
     """key, t1, t2, s1, s2[, skeleton]: 128-bit hashes of each text and of its skeleton. Null texts and keys are left out; an empty text is its own skeleton."""
 
