@@ -53,12 +53,11 @@ def top_dependencies(edges: DataFrame, most: int = 3) -> DataFrame:
     return e.withColumn("place", F.row_number().over(Window.partitionBy("src").orderBy(F.col("confidence").desc(), "dst"))).where(F.col("place") <= most).select("src", "dst", "place")
 
 
-def neighbour_lists(edges: DataFrame, most: int = 1000) -> DataFrame:
-    """node, outgoing, incoming: distinct neighbours in order, at most `most` names each with the full counts beside them."""
+def neighbour_lists(edges: DataFrame) -> DataFrame:
+    """node, n_out, outgoing, n_in, incoming: all distinct neighbours in order, with their counts."""
     e = edges.select("src", "dst").distinct()
-    w = lambda k, o: F.row_number().over(Window.partitionBy(k).orderBy(o))
-    out = e.withColumn("r", w("src", "dst")).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n_out"), F.array_sort(F.collect_list(F.when(F.col("r") <= most, F.col("dst")))).alias("outgoing"))
-    into = e.withColumn("r", w("dst", "src")).groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n_in"), F.array_sort(F.collect_list(F.when(F.col("r") <= most, F.col("src")))).alias("incoming"))
+    out = e.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n_out"), F.array_sort(F.collect_list("dst")).alias("outgoing"))
+    into = e.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n_in"), F.array_sort(F.collect_list("src")).alias("incoming"))
     return out.join(into, "node", "full")
 
 
