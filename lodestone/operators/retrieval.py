@@ -34,6 +34,95 @@ def bm25(queries: DataFrame, index: DataFrame, key: str, qkey: str = "query_id",
     return asked.join(index, "term").groupBy(qkey, key).agg(F.sum(F.col("times") * F.col("idf") * tf).alias("score")).where("score > 0")
 
 
+def bm25_top(queries: DataFrame, docs: DataFrame, k: int, key: str = "doc_id", terms: str = "terms", block: int = 1024) -> DataFrame:
+    """query_id, key, score (to 6 places, above 0), rank: the k best documents of each query by the scores of `bm25`, itself left out.
+
+    Both sides have key (a bigint) and terms. Queries go in blocks of a fixed number, their terms weighted, to where the documents are; a
+    task keeps its k best of each query, so the pairs of query and document are never shuffled. Ties: the smaller key.
+    """
+    spark, clean = docs.sparkSession, docs.where(F.size(terms) > 0).select(key, terms)
+    n, avgdl = clean.agg(F.count("*"), F.avg(F.size(terms))).first()
+    raw = F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    df = clean.select(F.explode(F.array_distinct(terms)).alias("term")).groupBy("term").agg(F.count("*").alias("df")).withColumn("raw", raw)
+    mean = df.agg(F.avg("raw")).first()[0]
+    weight = F.when(F.col("raw") < 0, F.lit(EPSILON) * F.lit(mean)).otherwise(F.col("raw")) * F.col("times")
+    asked = queries.select(F.col(key).alias("query_id"), F.explode(terms).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    asked = asked.join(df, "term").groupBy("query_id").agg(F.collect_list("term").alias("terms"), F.collect_list(weight).alias("weights"))
+    types = pa.schema([("query_id", pa.int64()), (key, pa.int64()), ("score", pa.float64())])
+
+    def search(batch: list) -> DataFrame:
+        words: dict[str, int] = {}
+        at = np.array([words.setdefault(w, len(words)) for r in batch for w in r[1]], dtype=np.int64)
+        who, much = np.repeat(np.arange(len(batch)), [len(r[1]) for r in batch]), np.array([x for r in batch for x in r[2]], dtype=np.float64)
+        order = np.argsort(at, kind="stable")
+        sent = spark.sparkContext.broadcast((np.array([r[0] for r in batch], dtype=np.int64), words, np.searchsorted(at[order], np.arange(len(words) + 1)), who[order], much[order]))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            qids, words, begin, who, much = sent.value
+            best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+            for whole in batches:
+                for i in range(0, whole.num_rows, 4096):
+                    b = whole.slice(i, 4096)
+                    keys = b.column(0).to_numpy(zero_copy_only=False)
+                    found = _scores(b.column(1), words, begin, who, much, len(qids), avgdl)
+                    found[qids[:, None] == keys[None, :]] = 0
+                    close = np.round(found, 6)
+                    least = -np.partition(-close, k - 1, axis=1)[:, k - 1 : k] if len(keys) > k else -np.inf
+                    q, j = np.nonzero((found > 0) & (close >= least))  # ties at the border stay in
+                    best = tuple(np.concatenate(x) for x in zip(best, (q, keys[j], close[q, j])))
+                    order = np.lexsort((best[1], -best[2], best[0]))
+                    best = tuple(x[order] for x in best)
+                    best = tuple(x[np.arange(len(order)) - np.searchsorted(best[0], best[0]) < k] for x in best)
+            yield pa.RecordBatch.from_pydict({"query_id": qids[best[0]], key: best[1], "score": best[2]}, schema=types)
+
+        return clean.mapInArrow(run, f"query_id bigint, {key} bigint, score double")
+
+    out, pending = clean.limit(0).select(F.col(key).alias("query_id"), key, F.lit(0.0).alias("score")), []
+    for r in asked.toLocalIterator():
+        pending.append(tuple(r))
+        if len(pending) == block:
+            out, pending = out.unionByName(search(pending)), []
+    if pending:
+        out = out.unionByName(search(pending))
+    return top(out, ["query_id"], [F.col("score").desc(), F.col(key)], k)
+
+
+def _scores(terms: pa.ListArray, words: dict[str, int], begin: np.ndarray, who: np.ndarray, much: np.ndarray, queries: int, avgdl: float) -> np.ndarray:
+    """queries x documents. begin, who, much: of each word the queries that have it and its weight there.
+
+    Words that fill much of the product are multiplied as matrices, the others pair by pair.
+    """
+    n, sizes = len(terms), np.diff(terms.offsets.to_numpy())
+    codes = terms.flatten().dictionary_encode()
+    col = np.array([words.get(w, -1) for w in codes.dictionary.to_pylist()], dtype=np.int64)[codes.indices.to_numpy()]
+    row = np.repeat(np.arange(n), sizes)
+    entry, tf = np.unique((col * n + row)[col >= 0], return_counts=True)
+    col, row = entry // n, entry % n
+    tf = tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[row] / avgdl))
+    askers = np.diff(begin)
+    dense = np.bincount(col, minlength=len(askers)) * askers > queries * n / 128
+    out = np.zeros((queries, n))
+    for some in np.array_split(wide := np.nonzero(dense)[0], max(1, -(-len(wide) // 512))):
+        place = np.full(len(askers), -1)
+        place[some] = np.arange(len(some))
+        a, d = np.zeros((queries, len(some))), np.zeros((len(some), n))
+        c = np.repeat(np.arange(len(askers)), askers)
+        use = place[c] >= 0
+        a[who[use], place[c[use]]] = much[use]
+        use = place[col] >= 0
+        d[place[col[use]], row[use]] = tf[use]
+        out += a @ d
+    col, row, tf = (x[~dense[col]] for x in (col, row, tf))
+    many = askers[col]
+    upto = np.cumsum(many)
+    cuts = np.flatnonzero(np.diff(upto >> 21, prepend=-1)) if len(upto) else []
+    for lo, hi in zip(cuts, [*cuts[1:], len(upto)]):  # about two million pairs at a time
+        m = many[lo:hi]
+        pair = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(begin[col[lo:hi]], m)
+        out += np.bincount(who[pair] * n + np.repeat(row[lo:hi], m), np.repeat(tf[lo:hi], m) * much[pair], minlength=queries * n).reshape(queries, n)
+    return out
+
+
 def top(scored: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
     """Adds rank (1 to k); the filter on row_number lets the engine prune before it shuffles."""
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)

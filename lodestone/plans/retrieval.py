@@ -40,6 +40,24 @@ def q_bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return R.top(s, ["query_id"], [F.col("score").desc(), F.col("doc_id")], 15).select("query_id", "doc_id", "score", "rank")
 
 
+def _documents(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Every twentieth document, which asks, and all of them, with the words of their whole texts."""
+    docs = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", _words("text").alias("terms"))
+    return docs.where("doc_id % 20 = 0"), docs
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, {_WORDS.format('text')} AS t FROM documents WHERE text IS NOT NULL), dl AS (SELECT doc_id, len(t) AS dl, t FROM d WHERE len(t) > 0),
+    st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl), p AS (SELECT term, doc_id, dl, count(*) AS tf FROM (SELECT doc_id, dl, unnest(t) AS term FROM dl) GROUP BY 1, 2, 3),
+    i0 AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM (SELECT term, count(*) AS df FROM p GROUP BY 1), st),
+    i AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM i0) ELSE raw END AS idf FROM i0),
+    scored AS (SELECT q.doc_id AS query_id, p.doc_id, sum(q.tf * idf * (p.tf * 2.5 / (p.tf + 1.5 * (0.25 + 0.75 * p.dl / avgdl)))) AS score FROM p q JOIN i USING (term) JOIN p USING (term), st WHERE q.doc_id % 20 = 0 AND q.doc_id <> p.doc_id GROUP BY 1, 2)
+    SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 15"""
+)
+def q_bm25_documents(spark: SparkSession, d: str) -> DataFrame:
+    return R.bm25_top(*_documents(spark, d), 15).select("query_id", "doc_id", "score", "rank")
+
+
 @query(
     """SELECT query_id, vec_id, round(similarity, 6) AS similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM
        (SELECT a.vec_id AS query_id, b.vec_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)) WHERE rank <= 15"""
@@ -71,10 +89,9 @@ def q_rrf(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def q_hybrid(spark: SparkSession, d: str) -> DataFrame:
-    """Lexical and dense ranks of all documents for each evaluation item, fused."""
-    lexical = R.top(_scored(spark, d), ["query_id"], [F.round("score", 6).desc(), F.col("doc_id")], 15)
+    """Lexical and dense ranks of all documents for every twentieth one, by its whole text, fused."""
+    lexical = R.bm25_top(*_documents(spark, d), 15)
     embed = R.hashing_embedder()
     docs = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", embed("text").alias("embedding"))
-    asked = table(spark, d, "eval_items").select((-F.col("item_id") - 1).alias("doc_id"), embed("content").alias("embedding"))
-    dense = R.cosine_top(asked, docs, 15, key="doc_id").withColumn("query_id", -F.col("query_id") - 1)
+    dense = R.cosine_top(docs.where("doc_id % 20 = 0"), docs, 15, key="doc_id")
     return R.rrf([lexical, dense], "query_id", "doc_id", 7).select("query_id", "doc_id", F.round("score", 9).alias("score"), "rank")
