@@ -51,6 +51,10 @@ _COMMANDS = {"curl", "wget", "redis-cli", "mysql", "mariadb", "docker", "pass"}
 _BY_KEYWORD = {k: (n, p) for n, p in _ISSUER for k in _OF_ISSUER[n]}
 _BEGIN = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _BLOCK = re.compile(_BEGIN.pattern + r"(?P<v>.*?)(?=-----END|[\"'`]|\Z)", re.S)
+#: A literal that continues a key block, and what may stand between two of them (with their quotes).
+_PIECE = re.compile(r"(?:[A-Za-z0-9+/=\s]|\\[nrt])*(?:-----END [A-Z0-9 ]*-----(?:\s|\\[nrt])*)?")
+_GOES_ON = re.compile(r"\s*[+.&]?\s*[bfru]{0,2}[\"'`](?:[A-Za-z0-9+/=\s]|\\[nrt]|-----END [A-Z0-9 ]*-----)*[\"'`](?:[^\r\n]*)[\r\n]*")
+_BETWEEN = re.compile(r"[\"'`](?:\s|[+.,&\\])*(?:[bfru]{0,2})?[\"'`]")
 
 #: Directories whose files never count.
 TEST_DIRS = r"(^|/)(tests?|specs?|mocks?|fixtures?|__tests__|__mocks__)/"
@@ -103,7 +107,7 @@ def credential_name(name: str) -> bool:
 def secret_like(value: str) -> bool:
     """Whether a value that stands under a credential's name can be a credential: no placeholder, reference or plain words."""
     v = value.strip()
-    if len(v) < 6 or len(v) > 4096 or any(c.isspace() for c in v) or _PLACEHOLDER.search(v):
+    if len(v) < 6 or any(c.isspace() for c in v) or _PLACEHOLDER.search(v):
         return False
     letters, digits = sum(c.isalpha() for c in v), sum(c.isdigit() for c in v)
     if not letters and digits < 10:
@@ -166,7 +170,10 @@ def find(content: str, automaton=None) -> list[tuple[int, int, str]]:
         start, end = breaks[i], breaks[i + 1]
         if not _COULD.search(content, start, end):
             continue
-        j = i + 1  # a value may go on in the next lines
+        j = i + 1  # a value may go on in the next lines, a key block in a list too
+        if "-----begin" in words and not ("-----END" in content[start:end]):
+            while j < len(breaks) - 1 and _GOES_ON.fullmatch(content, breaks[j], breaks[j + 1]):
+                j += 1
         while j < len(breaks) - 1 and j - i < 8 and (re.search(r"[\"'`]\s*(?:[+.&\\]\s*)?[\r\n]*\Z|\(\s*[\r\n]+\Z", content[breaks[j - 1] : breaks[j]]) and re.match(r"\s*[+.&]?\s*[\"'`]", content[breaks[j] : breaks[j] + 200])):
             j += 1
         spans += _in_lines(content, start, breaks[j] if j > i + 1 else end, end, words)
@@ -178,6 +185,25 @@ def find(content: str, automaton=None) -> list[tuple[int, int, str]]:
     return out
 
 
+def _joined_keys(text: str, groups: list[list[tuple[int, int, str]]]) -> list[list[tuple[int, int, str]]]:
+    """The literals of each private key that is put together from several: joined, or in a list from its BEGIN line on."""
+    out = []
+    parts = [p for g in groups for p in g]
+    for i, (_, _, value) in enumerate(parts):
+        if not (m := _BEGIN.search(value)):
+            continue
+        own, ended = [parts[i]], "-----END" in value[m.end() :]
+        for p in parts[i + 1 :]:
+            if ended or _BEGIN.search(p[2]) or not _PIECE.fullmatch(p[2]) or not _BETWEEN.fullmatch(text[own[-1][1] : p[0]]):
+                break
+            own.append(p)
+            ended = "-----END" in p[2]
+        body = "".join(x for _, _, x in own)[m.end() :].split("-----END")[0]
+        if len(own) > 1 and len(re.sub(r"\\.|[^A-Za-z0-9+/=]", "", body)) >= 32:
+            out.append(own)
+    return out
+
+
 def _in_lines(content: str, start: int, stop: int, first_end: int, words: set[str]) -> list[tuple[int, int, str]]:
     """Credentials that begin on the line content[start:first_end]; its literals may go on up to stop."""
     line = content[start:first_end].rstrip("\r\n")
@@ -204,6 +230,12 @@ def _in_lines(content: str, start: int, stop: int, first_end: int, words: set[st
         else:
             groups.append([(at, to, value)])
         last = m.end()
+    keys = _joined_keys(text, groups)
+    taken = {a for g in keys for a, _, _ in g}
+    groups = [g for g in groups if not any(a in taken for a, _, _ in g)]
+    for g in keys:
+        out.append((start + g[0][0], start + g[0][1], "joined key"))
+        out += [(start + a, start + b, "part") for a, b, _ in g[1:]]
     for g in groups:
         at = g[0][0]
         value = "".join(v for _, _, v in g)
@@ -266,8 +298,8 @@ def mask(content: str, spans: list[tuple[int, int, str]]) -> str:
     out, at = [], 0
     for start, end, kind in spans:
         part = content[start:end]
-        if kind == "private key":
-            head = _BEGIN.match(part).end()
+        if kind in ("private key", "joined key"):
+            head = _BEGIN.search(part).end()
             part = part[:head] + re.sub(r"\\.|[A-Za-z0-9]", lambda m: m.group(0) if m.group(0)[0] == "\\" else masked(m.group(0)), part[head:])
         else:
             part = masked(part)
