@@ -266,25 +266,27 @@ def _in_lines(content: str, start: int, stop: int, first_end: int, words: set[st
                 kind = "login"
             elif re.search(r"(?i)(?:getenv|environ\.get|env|process\.env\.\w+|System\.getenv|readEnv|fromEnvironment)\b[^\r\n]*?[\"'`]([\w.\-]+)[\"'`]\s*(?:,|\?\?|\|\||\?:)\s*(?:default\w*\s*[=:]\s*)?\Z", before) and secret_like(value) and (m := re.search(r"[\"'`]([\w.\-]+)[\"'`]\s*(?:,|\?\?|\|\||\?:|\)\s*(?:\?\?|\|\||\?:|or))\s*(?:default\w*\s*[=:]\s*)?\Z", before)) and credential_name(m.group(1)):
                 kind = "default"
-        if not kind and len(g) == 1 and (m := _INSIDE.search(value)) and secret_like(m.group("v")):
-            out.append((start + at + m.start("v"), start + at + m.end("v"), "inside"))
+        if not kind:
+            for a, _, v in g:
+                out += [(start + a + m.start("v"), start + a + m.end("v"), "inside") for m in _INSIDE.finditer(v) if secret_like(m.group("v"))]
         if kind:
             out.append((start + g[0][0], start + g[0][1], kind))
             out += [(start + a, start + b, "part") for a, b, _ in g[1:]]
-    if not out:
-        if m := _BARE.match(line):
-            value = m.group("v").rstrip(",;")
-            if credential_name(m.group(1)) and secret_like(value) and not re.search(r"[()\[\]{}]|^[a-zA-Z_][\w]*(?:\.[a-zA-Z_]\w*)+$", value) and re.search(r"\d", value) and not re.match(r"^-?[\d.]+\w?$", value):
-                if re.match(r"^\s*(?:export\s+)?[A-Za-z_\"'][\w.\"'-]*\s*[:=]\s*\S+$", line) and not re.search(r"^\w+\[|\w\s*[*+/-]\s*\w", line.split("=", 1)[-1] if " = " in line else ""):
-                    if not re.match(r"^[A-Za-z_]\w*$", value) or re.match(r"^\s*(?:export\s+)?[A-Z][A-Z0-9_]*=", line) or ":" in line and not line.rstrip().endswith((";", "{", ",")):
-                        out.append((start + m.start("v"), start + m.start("v") + len(value), "bare"))
-        comment = re.search(r"(?:#|//|/\*|\*|--|;)\s", line)
-        if comment and not out:
-            tail = line[comment.end() :]
-            for p in (_HEADER, _NOTE):
-                if (m := p.search(tail)) and secret_like(m.group("v")) and len(m.group("v")) >= 8 and re.search(r"\d", m.group("v")):
-                    out.append((start + comment.end() + m.start("v"), start + comment.end() + m.end("v"), "comment"))
-                    break
+    more = []
+    if m := _BARE.match(line):
+        value = m.group("v").rstrip(",;")
+        if credential_name(m.group(1)) and secret_like(value) and not re.search(r"[()\[\]{}]|^[a-zA-Z_][\w]*(?:\.[a-zA-Z_]\w*)+$", value) and re.search(r"\d", value) and not re.match(r"^-?[\d.]+\w?$", value):
+            if re.match(r"^\s*(?:export\s+)?[A-Za-z_\"'][\w.\"'-]*\s*[:=]\s*\S+$", line) and not re.search(r"^\w+\[|\w\s*[*+/-]\s*\w", line.split("=", 1)[-1] if " = " in line else ""):
+                if not re.match(r"^[A-Za-z_]\w*$", value) or re.match(r"^\s*(?:export\s+)?[A-Z][A-Z0-9_]*=", line) or ":" in line and not line.rstrip().endswith((";", "{", ",")):
+                    more.append((start + m.start("v"), start + m.start("v") + len(value), "bare"))
+    if comment := re.search(r"(?:#|//|/\*|\*|--|;)\s", line):
+        for p in (_HEADER, _NOTE):
+            for m in p.finditer(line, comment.end()):
+                if secret_like(m.group("v")) and len(m.group("v")) >= 8 and re.search(r"\d", m.group("v")):
+                    more.append((start + m.start("v"), start + m.end("v"), "comment"))
+    for x in more:  # what is known more closely stays as it is
+        if all(x[1] <= a or b <= x[0] for a, b, _ in out):
+            out.append(x)
     return out
 
 

@@ -30,3 +30,19 @@ def test_long_value():
     value = "".join(f"aB{i:03}" for i in range(1000))
     text = f'service_account_key = "{value}"\n'
     assert len(S.find(text)) == 1 and value not in S.mask(text, S.find(text))
+
+
+@pytest.mark.parametrize(
+    ("text", "values"),
+    [
+        ('dsn = "token=${TOKEN};password=Zk8!qPw2x"', ["Zk8!qPw2x"]),
+        ("// password: ******** token: 9fKe82LmQ0aa", ["9fKe82LmQ0aa"]),
+        ('dsn = "password=Zk8!qPw2x;token=9fKe82LmQ0aa"', ["Zk8!qPw2x", "9fKe82LmQ0aa"]),
+        ('dsn = "Server=db;" + "Password=Xy12abc9;Port=1"', ["Xy12abc9"]),
+        ('k = "ghp_0123456789abcdefghijABCDEFGHIJ012345"  # old token: 9fKe82LmQ0aa', ["ghp_0123456789abcdefghijABCDEFGHIJ012345", "9fKe82LmQ0aa"]),
+    ],
+)
+def test_every_candidate_of_a_line(text, values):
+    spans = S.find(text)
+    assert [text[a:b] for a, b, _ in spans] == values
+    assert not any(v in S.mask(text, spans) for v in values)
