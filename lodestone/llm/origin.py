@@ -41,6 +41,7 @@ _UPSTREAM = re.compile(r"(?i)\bupstream (?:copy|source|version)\b|\bvendored\b|\
 _BUNDLE = re.compile(r"^/\*![^\r\n]*\*/")
 _EOL = re.compile(r"\r\n|\n|\r")
 _CODE_LINE = re.compile(r"\s*(?:#|//|/\*|\*|--|<!--|;|$)")
+_DOC_OPEN = re.compile(r"[rRuU]?(\"\"\"|''')")
 _LITERAL = re.compile(r'"(?:[^"\\\r\n]|\\.)*"|\'(?:[^\'\\\r\n]|\\.)*\'|`(?:[^`\\]|\\.)*`|(?<![\w.])-?\d[\w.]*')
 _DOC3 = re.compile(r'"""(?:[^"\\]|\\.|"(?!""))*"""|\'\'\'(?:[^\'\\]|\\.|\'(?!\'\'))*\'\'\'', re.S)
 _LINE_NOTE = re.compile(r"(?m)(?:^|(?<=\s))(?://|#)[^\r\n]*|/\*(?:[^*]|\*(?!/))*\*/")
@@ -48,19 +49,29 @@ _STATEMENT = re.compile(r"\b(?:def|function|func|fun|return|if|for|while|class \
 _CODE_EXT = frozenset(lexing.BY_EXTENSION) | {"jsx", "tsx", "mjs", "cjs", "c", "h", "cc", "cpp", "hpp", "cs", "rs", "rb", "php", "scala", "m", "css"}
 
 
-def header(text: str, most: int = 60) -> list[str]:
-    """The comment lines before the first line of code, at most the first `most` lines."""
-    out, inside, at, n = [], False, 0, 0
-    while at < len(text) and n < most:
+def header(text: str) -> list[str]:
+    """The comment lines before the first line of code, and those of an opening docstring."""
+    out, close, at = [], "", 0
+    while at < len(text):
         m = _EOL.search(text, at)
         line = text[at : m.start() if m else len(text)]
-        at, n = (m.end() if m else len(text)), n + 1
+        at = m.end() if m else len(text)
         s = line.strip()
-        if inside:
-            inside = "*/" not in s
+        opened = _DOC_OPEN.match(s)
+        if close:
+            if close in s:
+                if close != "*/":
+                    out.append(s)
+                    break  # code begins after the docstring
+                close = ""
         elif s.startswith("/*"):
-            inside = "*/" not in s[2:]
-        elif s.startswith(('"""', "'''")) or s and not _CODE_LINE.match(s):
+            close = "" if "*/" in s[2:] else "*/"
+        elif opened:
+            close = opened.group(1)
+            if close in s[opened.end() :]:
+                out.append(s)
+                break
+        elif s and not _CODE_LINE.match(s):
             break
         if s:
             out.append(s)
@@ -76,7 +87,7 @@ def judge(path: str, text: str) -> str:
         return ""
     head = header(text)
     marks = [x for x in head if not _HAND.search(x)]
-    if len(marks) == len(head) and any(_TOOL.search(re.sub(r"^[\s/*#;!<-]+", "", x)) for x in marks):
+    if len(marks) == len(head) and any(_TOOL.search(re.sub(r"^(?:[rRuU]?(?:\"\"\"|'''))?[\s/*#;!<-]*", "", x)) for x in marks):
         return "generated"
     ext = name.rsplit(".", 1)[-1] if "." in name else ""
     if ext in _CODE_EXT:
