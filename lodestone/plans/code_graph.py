@@ -10,6 +10,7 @@ from lodestone.operators import layers as L
 from lodestone.operators import symbols as S
 from lodestone.plans.chunking import chunk_texts, chunks_once
 from lodestone.plans.registry import query
+from lodestone.session import cut
 from lodestone.sources.tables import table
 
 _CHUNKS = "c AS (SELECT DISTINCT chunk_id, repo_name, file_path, chunk_type, symbol_name, parent_symbol AS parent, start_line, content FROM chunks)"
@@ -207,6 +208,60 @@ def q_layer_violations(spark: SparkSession, d: str) -> DataFrame:
     return G.layer_violations(edges, nodes)
 
 
+_PAIRS = f"{_EDGES}, e AS (SELECT DISTINCT src, dst FROM edges)"
+
+
+def _code_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """The distinct pairs of the code's own graph, for the same measures as of the trade above."""
+    return _code_edges(spark, d).select("src", "dst").distinct()
+
+
+@query(f"WITH {_PAIRS} SELECT node, sum(i) AS n_in, sum(o) AS n_out FROM (SELECT src AS node, 0 AS i, 1 AS o FROM e UNION ALL SELECT dst, 1, 0 FROM e) GROUP BY 1")
+def q_code_degrees(spark: SparkSession, d: str) -> DataFrame:
+    return G.degrees(_code_pairs(spark, d))
+
+
+@query(f"WITH {_PAIRS} SELECT src AS node, count(*) AS n_out FROM e GROUP BY 1 HAVING count(*) >= 10")
+def q_code_high_coupling(spark: SparkSession, d: str) -> DataFrame:
+    return G.high_coupling(_code_pairs(spark, d))
+
+
+@query(f"WITH {_PAIRS}, v AS (SELECT count(DISTINCT chunk_id)::DOUBLE AS nodes FROM chunks) SELECT (SELECT nodes::BIGINT FROM v) AS nodes, count(*) AS edges, round(count(*) / ((SELECT nodes FROM v) * ((SELECT nodes FROM v) - 1)), 9) AS density FROM e")
+def q_code_density(spark: SparkSession, d: str) -> DataFrame:
+    return G.stats(chunks_once(spark, d, "chunk_id").select(F.col("chunk_id").alias("node")), _code_pairs(spark, d))
+
+
+@query(
+    f"""WITH {_PAIRS} SELECT src AS cycle, 1 AS length FROM e WHERE src = dst UNION ALL
+    SELECT a.src || '>' || a.dst, 2 FROM e a JOIN e b ON b.src = a.dst AND b.dst = a.src WHERE a.src < a.dst UNION ALL
+    SELECT a.src || '>' || a.dst || '>' || b.dst, 3 FROM e a JOIN e b ON b.src = a.dst JOIN e c ON c.src = b.dst AND c.dst = a.src WHERE a.src < a.dst AND b.dst > a.src AND b.dst <> a.dst"""
+)
+def q_code_cycles3(spark: SparkSession, d: str) -> DataFrame:
+    return G.cycles(cut(_code_pairs(spark, d)), 3)
+
+
+@query(
+    f"""WITH RECURSIVE {_PAIRS}, walk AS (SELECT DISTINCT src AS seed, src AS node, 0 AS hops FROM e UNION SELECT w.seed, e.dst, w.hops + 1 FROM walk w JOIN e ON e.src = w.node WHERE w.hops < 3)
+    SELECT seed, node, min(hops) AS hops FROM walk GROUP BY 1, 2"""
+)
+def q_code_reach_k(spark: SparkSession, d: str) -> DataFrame:
+    e = cut(_code_pairs(spark, d))
+    return G.reach(e, e.select(F.col("src").alias("node")).distinct(), 3)
+
+
+@query(f"WITH {_PAIRS}, u AS (SELECT src, dst FROM e WHERE src <> dst UNION SELECT dst, src FROM e WHERE src <> dst) SELECT src AS node, count(*) AS radius FROM u GROUP BY 1")
+def q_code_blast_radius(spark: SparkSession, d: str) -> DataFrame:
+    return G.blast_radius(_code_pairs(spark, d))
+
+
+@query()
+def q_code_layer_violations(spark: SparkSession, d: str) -> DataFrame:
+    found = L.labels(F.col("file_path"))
+    nodes = chunk_texts(spark, d, "chunk_id", "file_path").distinct().select(F.col("chunk_id").alias("node"), found[0].alias("layer"), F.size(found).alias("labels"))
+    edges = _code_edges(spark, d).select("src", "dst", "kind", "cross_domain").distinct()
+    return G.layer_violations(edges, nodes)
+
+
 @query("SELECT DISTINCT a.file_path AS path_a, b.file_path AS path_b, len(string_split(a.file_path, '/')) >= 2 AND len(string_split(b.file_path, '/')) >= 2 AND string_split(a.file_path, '/')[1] <> string_split(b.file_path, '/')[1] AS cross_domain FROM chunks a JOIN chunks b ON a.next_chunk_id = b.chunk_id")
 def q_cross_domain(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "chunks")

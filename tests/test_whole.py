@@ -40,3 +40,12 @@ def test_hybrid_asks_with_later_lines(spark, tmp_path):
     spark.createDataFrame([], "item_id bigint, content string").write.parquet(f"{tmp_path}/eval_items.parquet")
     assert [(r.query_id, r.doc_id) for r in q_bm25_documents(spark, str(tmp_path)).collect()] == [(0, 2)]
     assert q_hybrid(spark, str(tmp_path)).where("rank = 1").select("query_id", "doc_id").first() == (0, 2)
+
+
+def test_measures_of_the_code_itself(spark, tmp_path):
+    from lodestone.plans import code_graph as Q
+
+    rows = [("a", "r", "src/screens/a.py", "function", "f", None, 1, 2, "def f():\n    g()\n"), ("b", "r", "src/db/b.py", "function", "g", None, 1, 2, "def g():\n    h()\n"), ("c", "r", "src/db/c.py", "function", "h", None, 1, 2, "def h():\n    f()\n")]
+    spark.createDataFrame(rows, "chunk_id string, repo_name string, file_path string, chunk_type string, symbol_name string, parent_symbol string, start_line int, end_line int, content string").write.parquet(f"{tmp_path}/chunks.parquet")
+    assert [r.cycle for r in Q.q_code_cycles3(spark, str(tmp_path)).collect()] == ["a>b>c"]
+    assert {(r.src, r.dst) for r in Q.q_code_layer_violations(spark, str(tmp_path)).collect()} == {("a", "b"), ("c", "a")}
