@@ -1,8 +1,8 @@
 """Files that nobody here wrote by hand: generated, minified, vendored, or data saved as code.
 
 Header and layout rules judge each file by itself. Vendored code is what unrelated repositories share: a Merkle tree is built
-bottom-up, one aggregation per depth, in which a file's digest is that of its text and a directory's that of its children's names
-and digests. A file or subtree with the same digest under another owner is a copy, and a directory most of whose files are copies
+bottom-up, one aggregation per depth, in which a file's digest is that of its text and a directory's that of its children's
+digests (not of their names: copies are often renamed, `lib.js` to `lib-1.2.js`). A file or subtree with the same digest under another owner is a copy, and a directory most of whose files are copies
 takes the edited rest with it. Children's hashes are added up, so aggregates combine before they shuffle and no directory's children
 are ever gathered in one place.
 """
@@ -135,7 +135,8 @@ def _tabular(text: str) -> bool:
 
 def _layout(text: str) -> str:
     bare = _LITERAL.sub("", text)
-    if len(bare) < 0.45 * len(text):  # mostly literals: documentation strings and comments aside, is there anything else?
+    solid, literals = len(bare) - sum(map(bare.count, " \t\r\n,[]{}()")), len(text) - len(bare)
+    if solid < 0.45 * (solid + literals):  # mostly literals: documentation strings and comments aside, is there anything else?
         rest = _LINE_NOTE.sub("", _DOC3.sub('""', text))
         bare = _LITERAL.sub("", rest)
         solid = len(re.sub(r"[\s,\[\]{}()]", "", bare))
@@ -202,7 +203,7 @@ def subtrees(leaf: DataFrame) -> DataFrame:
     to be known again, and the copies among them.
 
     `leaf` has repo_name, path, d1, d2, known, copied (flags). Directories come bottom-up: those of one depth are made by one
-    aggregation over the files and directories right below them. A directory's digest hashes its children's names and digests.
+    aggregation over the files and directories right below them. A directory's digest hashes its children's digests.
     """
     kids = leaf.select("repo_name", "path", "d1", "d2", F.lit(1).cast("bigint").alias("files"), F.col("known").cast("bigint").alias("known"), F.col("copied").cast("bigint").alias("copied"), F.size(F.split("path", "/")).alias("depth"))
     depth = kids.agg(F.max("depth")).first()[0] or 0
@@ -210,9 +211,8 @@ def subtrees(leaf: DataFrame) -> DataFrame:
     for at in range(depth, 1, -1):
         here = kids.where(F.col("depth") == at).drop("depth")
         here = here if above is None else here.unionByName(above)
-        name = F.substring_index("path", "/", -1)
         # sums of the 32-bit halves of each child's hash: order doesn't matter, and two equal children don't cancel
-        halves = [F.sum(part).alias(f"h{i}{j}") for i in (1, 2) for j, part in enumerate((F.xxhash64(F.lit(i), name, "d1", "d2").bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned(F.xxhash64(F.lit(i), name, "d1", "d2"), 32)))]
+        halves = [F.sum(part).alias(f"h{i}{j}") for i in (1, 2) for j, part in enumerate((F.xxhash64(F.lit(i), "d1", "d2").bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned(F.xxhash64(F.lit(i), "d1", "d2"), 32)))]
         made = here.groupBy("repo_name", _parent().alias("path")).agg(*halves, *(F.sum(c).alias(c) for c in ("files", "known", "copied")))
         above = cut(made.select("repo_name", "path", F.xxhash64("h10", "h11", "files").alias("d1"), F.xxhash64("h20", "h21", "files").alias("d2"), "files", "known", "copied"))
         out.append(above)

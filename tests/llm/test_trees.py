@@ -37,7 +37,7 @@ def test_layout_has_no_least_size(text, kind):
     assert O.judge("a/x.js" if kind == "minified" else "a/x.py", text) == kind
 
 
-def test_trees_hash_names_and_digests(spark):
+def test_trees_hash_digests_of_children(spark):
     rows = [(*r, 0, 0) for r in _rows("a__x", "lib/deep/er", 3) + _rows("b__y", "other/deep/er", 3) + _rows("c__z", "lib/deep/er", 2)] + [("d__w", "top.py", "", 0, 0)]
     leaf = spark.createDataFrame(rows, "repo_name string, path string, content string, k int, c int").select("repo_name", "path", F.xxhash64("content").alias("d1"), F.xxhash64("content", F.lit(1)).alias("d2"), F.lit(True).alias("known"), F.lit(False).alias("copied"))
     nodes = {(r.repo_name, r.path): (r.d1, r.d2, r.files) for r in O.subtrees(leaf).collect()}
