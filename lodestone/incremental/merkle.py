@@ -2,7 +2,8 @@
 
 Keys are hashed to leaves; a leaf's digest is the exclusive or of its records' hashes (128 bits in two halves), a
 node's that of its children. Two states are compared from the root: only nodes whose digests differ are descended into,
-and records are compared in the changed leaves alone. `Runner` publishes a run's output together with its state and tree.
+and records are compared in the changed leaves alone. `Runner` publishes a run's output together with its state and tree;
+`replay` does so for all runs over a feed, `changes_by_run` gives their rows at once, by the trees' differences.
 """
 
 from __future__ import annotations
@@ -33,6 +34,11 @@ def build(state: DataFrame, key: str, value: str, fanout_bits: int = 4, levels:
     """level, node, d1, d2, n: the tree of a state (one row per key); level 0 is the root, `levels` the leaves."""
     one, two = record_hashes(key, value)
     leaves = state.groupBy(leaf_of(key, fanout_bits, levels).alias("node")).agg(F.bit_xor(one).alias("d1"), F.bit_xor(two).alias("d2"), F.count("*").alias("n"))
+    return tree_of(leaves, fanout_bits, levels)
+
+
+def tree_of(leaves: DataFrame, fanout_bits: int, levels: int) -> DataFrame:
+    """level, node, d1, d2, n: the tree over its leaves (node, d1, d2, n)."""
     leaves = cut(leaves)  # at most 2 ** (fanout_bits * levels) rows
     return reduce(DataFrame.unionByName, [_level(leaves, fanout_bits, levels, at) for at in range(levels + 1)])
 
@@ -60,7 +66,11 @@ def changed_leaves(saved: DataFrame, current: DataFrame, fanout_bits: int = 4, l
 def changes(saved: DataFrame, current: DataFrame, saved_tree: DataFrame, current_tree: DataFrame, key: str, value: str, fanout_bits: int = 4, levels: int = 4) -> DataFrame:
     """key, value, change ('new', 'changed', 'removed'): records are compared only within the leaves that differ."""
     leaves = changed_leaves(saved_tree, current_tree, fanout_bits, levels)
-    a, b = (t.withColumn("node", leaf_of(key, fanout_bits, levels)).join(leaves, "node", "left_semi") for t in (saved, current))
+    return _differences(*(t.withColumn("node", leaf_of(key, fanout_bits, levels)).join(leaves, "node", "left_semi") for t in (saved, current)), key, value)
+
+
+def _differences(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
+    """key, value, change of what two states (one row per key) differ in."""
     a = a.select(key, F.col(value).alias("__old"), F.lit(True).alias("__had"))
     both = a.join(b.select(key, value, F.lit(True).alias("__has")), key, "full_outer")
     kind = F.when(F.col("__had").isNull(), "new").when(F.col("__has").isNull(), "removed").when(~F.col("__old").eqNullSafe(F.col(value)), "changed")
@@ -115,20 +125,24 @@ def changes_by_run(feed: DataFrame, runs: DataFrame, key: str, value: str, at: s
 class Runner:
     """Runs that process only what is new or changed since the last success.
 
-    A run writes its output, state and tree into a folder of its own and then commits by creating one manifest file named
-    after its number; creation fails if another run was faster. A run that dies before leaves nothing that counts, the
-    next one starts from the last manifest: no record is skipped and none is published twice.
+    A run writes its output, its tree and the key ranges of the state that it touched into a folder of its own, and then
+    commits by renaming a finished manifest to its number, which fails if another run was faster. The manifest says where each key range
+    of the state stands, so untouched ranges stay where earlier runs wrote them. A run that dies at any step before the rename leaves
+    nothing that counts; the next one starts from the last manifest: no record is skipped and none is published twice.
+
+    The file system must rename atomically, as HDFS and local ones do. `part_bits` sets how many key ranges (files' folders) the state has.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, key: str, value: str, fanout_bits: int = 4, levels: int = 4):
-        self.spark, self.folder, self.key, self.value, self.bits, self.levels = spark, folder.rstrip("/"), key, value, fanout_bits, levels
+    def __init__(self, spark: SparkSession, folder: str, key: str, value: str, fanout_bits: int = 8, levels: int = 2, part_bits: int = 4):
+        self.spark, self.folder, self.key, self.value, self.bits, self.levels, self.part_bits = spark, folder.rstrip("/"), key, value, fanout_bits, levels, part_bits
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def committed(self) -> list[int]:
         at = self._path(f"{self.folder}/manifests")
-        return sorted(int(x.getPath().getName().split(".")[0]) for x in self._fs.listStatus(at)) if self._fs.exists(at) else []
+        names = [x.getPath().getName() for x in self._fs.listStatus(at)] if self._fs.exists(at) else []
+        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
 
     def manifest(self, number: int) -> dict:
         stream = self._fs.open(self._path(f"{self.folder}/manifests/{number}.json"))
@@ -137,27 +151,122 @@ class Runner:
         finally:
             stream.close()
 
-    def run(self, current: DataFrame, process: Callable[[DataFrame], DataFrame]) -> int:
-        """Processes the changes of `current` (one row per key) against the last committed state; the run's number."""
-        done = self.committed()
-        number = (done[-1] if done else 0) + 1
-        work = f"{self.folder}/runs/{number}-{uuid.uuid4().hex[:8]}"
-        current.select(self.key, self.value).write.parquet(f"{work}/state")
-        state = self.spark.read.parquet(f"{work}/state")
-        build(state, self.key, self.value, self.bits, self.levels).write.parquet(f"{work}/tree")
-        tree = self.spark.read.parquet(f"{work}/tree")
-        if done:
-            base = self.manifest(done[-1])["work"]
-            old, old_tree = self.spark.read.parquet(f"{base}/state"), self.spark.read.parquet(f"{base}/tree")
-        else:
-            old, old_tree = state.limit(0), tree.limit(0)
-        process(changes(old, state, old_tree, tree, self.key, self.value, self.bits, self.levels)).write.parquet(f"{work}/output")
-        out = self._fs.create(self._path(f"{self.folder}/manifests/{number}.json"), False)  # fails if it exists
-        out.write(json.dumps({"work": work}).encode())
+    def _commit(self, number: int, manifest: dict) -> None:
+        ready = self._path(f"{self.folder}/manifests/{uuid.uuid4().hex}.tmp")
+        out = self._fs.create(ready, True)
+        out.write(json.dumps(manifest).encode())
         out.close()
+        sc = self.spark.sparkContext
+        options = sc._jvm.org.apache.hadoop.fs.Options
+        none = sc._gateway.new_array(getattr(options, "Rename"), 0)
+        # without the option to overwrite, the rename fails if the number is taken
+        sc._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), sc._jsc.hadoopConfiguration()).rename(ready, self._path(f"{self.folder}/manifests/{number}.json"), none)
+
+    def _leaf(self) -> Column:
+        return leaf_of(self.key, self.bits, self.levels)
+
+    def _part(self, leaf: str) -> Column:
+        return F.shiftrightunsigned(F.col(leaf), self.bits * self.levels - self.part_bits).cast("int")
+
+    def _saved(self, manifest: dict, parts: list[int], like: DataFrame) -> DataFrame:
+        """key, value of the saved state, of some key ranges only."""
+        paths = [f"{manifest['parts'][str(p)]}/state/part={p}" for p in parts if str(p) in manifest["parts"]]
+        like = like.select(self.key, self.value)
+        return self.spark.read.schema(like.schema).parquet(*paths).select(self.key, self.value) if paths else like.limit(0)
+
+    def _last(self) -> tuple[int, dict, DataFrame | None]:
+        done = self.committed()
+        if not done:
+            return 0, {"parts": {}}, None
+        manifest = self.manifest(done[-1])
+        return done[-1], manifest, self.spark.read.parquet(f"{manifest['work']}/tree")
+
+    def _begin(self, number: int) -> str:
+        return f"{self.folder}/runs/{number}-{uuid.uuid4().hex[:8]}"
+
+    def _publish(self, number: int, work: str, base: dict, parts: list[int], kept: list[int], output: DataFrame) -> int:
+        output.write.parquet(f"{work}/output")
+        where = {p: w for p, w in base["parts"].items() if int(p) not in parts} | {str(p): work for p in kept}
+        self._commit(number, {"work": work, "parts": where})
         return number
 
+    def run(self, current: DataFrame, process: Callable[[DataFrame], DataFrame]) -> int:
+        """Processes the changes of `current` (the whole state, one row per key) against the last committed state; the run's number.
+
+        Output: what `process` makes of key, value, change ('new', 'changed', 'removed').
+        """
+        last, base, saved_tree = self._last()
+        work = self._begin(last + 1)
+        now = current.select(self.key, self.value)
+        build(now, self.key, self.value, self.bits, self.levels).write.parquet(f"{work}/tree")
+        tree = self.spark.read.parquet(f"{work}/tree")
+        leaves = changed_leaves(tree.limit(0) if saved_tree is None else saved_tree, tree, self.bits, self.levels)
+        parts = self._numbers(leaves.select(self._part("node").alias("part")))
+        own = now.withColumn("leaf", self._leaf()).withColumn("part", self._part("leaf"))
+        own.where(F.col("part").isin(parts)).drop("leaf").write.partitionBy("part").parquet(f"{work}/state")
+        kept = self._written(work)
+        state = self._saved({"parts": {str(p): work for p in kept}}, kept, now)
+        saved = self._saved(base, parts, now)
+        return self._publish(last + 1, work, base, parts, kept, process(self._compared(saved, state, leaves)))
+
+    def advance(self, rows: DataFrame, order: list[str], process: Callable[[DataFrame], DataFrame]) -> int:
+        """Processes what `rows`, everything that arrived since the last committed run, changes in the state; the run's number.
+
+        Of several rows for one key the last by `order` counts (ties: the greater value). Only key ranges that rows fall into are read and
+        written again; the digests of all other leaves are taken over from the saved tree. Null keys and values are left out.
+        """
+        last, base, saved_tree = self._last()
+        work = self._begin(last + 1)
+        rows = rows.where(F.col(self.key).isNotNull() & F.col(self.value).isNotNull())
+        new = cut(rows.groupBy(self.key).agg(F.max_by(F.col(self.value), F.struct(*order, self.value)).alias(self.value)).withColumn("leaf", self._leaf()))
+        parts = self._numbers(new.select(self._part("leaf").alias("part")))
+        saved = self._saved(base, parts, new)
+        merged = saved.withColumnRenamed(self.value, "__old").hint("merge").join(new.drop("leaf").hint("merge"), self.key, "full_outer")
+        merged = merged.select(self.key, F.coalesce(self.value, "__old").alias(self.value), self._leaf().alias("leaf"))
+        merged.withColumn("part", self._part("leaf")).drop("leaf").write.partitionBy("part").parquet(f"{work}/state")
+        kept = self._written(work)
+        state = self._saved({"parts": {str(p): work for p in kept}}, kept, new)
+        one, two = record_hashes(self.key, self.value)
+        fresh = state.groupBy(self._leaf().alias("node")).agg(F.bit_xor(one).alias("d1"), F.bit_xor(two).alias("d2"), F.count("*").alias("n"))
+        if saved_tree is not None:
+            fresh = fresh.unionByName(saved_tree.where((F.col("level") == self.levels) & ~self._part("node").isin(parts)).drop("level"))
+        tree_of(fresh, self.bits, self.levels).write.parquet(f"{work}/tree")
+        tree = self.spark.read.parquet(f"{work}/tree")
+        leaves = changed_leaves(tree.limit(0) if saved_tree is None else saved_tree, tree, self.bits, self.levels)
+        return self._publish(last + 1, work, base, parts, kept, process(self._compared(saved, state, leaves)))
+
+    def _compared(self, saved: DataFrame, state: DataFrame, leaves: DataFrame) -> DataFrame:
+        """key, value, change: records are compared only within the leaves that differ."""
+        return _differences(*(t.withColumn("node", self._leaf()).join(leaves, "node", "left_semi") for t in (saved, state)), self.key, self.value)
+
+    def _numbers(self, parts: DataFrame) -> list[int]:
+        return sorted(r["part"] for r in parts.distinct().collect())  # at most 2 ** part_bits
+
+    def _written(self, work: str) -> list[int]:
+        at = self._path(f"{work}/state")
+        names = [x.getPath().getName() for x in self._fs.listStatus(at)] if self._fs.exists(at) else []
+        return sorted(int(n[5:]) for n in names if n.startswith("part="))
+
     def output(self) -> DataFrame:
         """The outputs of all committed runs."""
         works = [self.manifest(n)["work"] for n in self.committed()]
         return self.spark.read.parquet(*(f"{w}/output" for w in works))
+
+
+def replay(feed: DataFrame, runs: DataFrame, folder: str, key: str, value: str, at: str, order: list[str], fanout_bits: int = 8, levels: int = 2, part_bits: int = 4) -> DataFrame:
+    """As `changes_by_run`, by the runs themselves: each advances the saved state by what arrived since the run before.
+
+    A run reads the feed's rows of its own interval and the key ranges of the state they fall into, compares its tree with the saved one from the
+    root, reads the leaves that differ, and publishes output, state and tree together in `folder` (new or empty).
+    """
+    good = runs.where((F.col("status") == "success") & F.col("started_at").isNotNull()).select("run_id", "started_at").distinct()
+    found = good.orderBy("started_at", "run_id").collect()  # one short row a run
+    if not found:
+        return feed.limit(0).select(F.lit("").alias("run_id"), key, value)
+    runner, before = Runner(feed.sparkSession, folder, key, value, fanout_bits, levels, part_bits), None
+    for r in found:
+        arrived = F.col(at) <= F.lit(r["started_at"])
+        rows = feed.where(arrived if before is None else arrived & (F.col(at) > F.lit(before)))
+        runner.advance(rows, order, lambda d, name=r["run_id"]: d.select(F.lit(name).alias("run_id"), key, value))
+        before = r["started_at"]
+    return runner.output()
