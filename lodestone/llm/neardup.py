@@ -55,15 +55,16 @@ def shingle_set(words: list[str], size: int, cache: dict[str, int]) -> np.ndarra
     return np.unique(_scramble(total))
 
 
-def shingled(items: DataFrame, key: str, text: str, size: int = 3, least_words: int = 30) -> DataFrame:
+def shingled(items: DataFrame, key: str, text: str, size: int = 3, least_words: int = 30, once: bool = False) -> DataFrame:
     """key, d1, d2 (digest of the set), n, shingles (sorted), pivots (64 bytes) of each text with enough words.
 
-    Words are the maximal runs of ASCII letters, digits and `_`, lower-cased. Null texts and texts with fewer words are left out.
+    With `once` a task gives each set only once, so copies of a hot text are combined before they are shuffled. Words are the maximal runs of ASCII letters, digits and `_`, lower-cased. Null texts and texts with fewer words are left out.
     """
     types = pa.schema([(key, pa.string()), ("d1", pa.int64()), ("d2", pa.int64()), ("n", pa.int32()), ("shingles", pa.list_(pa.int64())), ("pivots", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, int] = {}
+        given: set[bytes] = set()
         for b in batches:
             keys, one, two, sizes, sets, pivots = [], [], [], [], [], []
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -72,6 +73,12 @@ def shingled(items: DataFrame, key: str, text: str, size: int = 3, least_words:
                     continue
                 s = shingle_set(words, size, cache)
                 d = xxhash.xxh3_128_digest(s.tobytes())
+                if once:
+                    if d in given:
+                        continue
+                    if len(given) > 1_000_000:
+                        given.clear()  # a combiner only: what it forgets is combined later
+                    given.add(d)
                 keys.append(k)
                 one.append(int.from_bytes(d[:8], "big", signed=True))
                 two.append(int.from_bytes(d[8:], "big", signed=True))
@@ -168,10 +175,10 @@ def class_links(classes: DataFrame, threshold: float) -> DataFrame:
         & (F.col("n_s") >= F.lit(threshold) * F.col("n_l") - F.lit(1e-9))
         & (F.least(F.col("n_s") - F.col("pos_s"), F.col("n_l") - F.col("pos_l")) >= need)
     )
-    pairs = small.join(large, "token").where(meets).groupBy("id_s", "id_l").agg(F.first("n_s").alias("n_s"), F.first("n_l").alias("n_l"))
+    pairs = small.hint("merge").join(large, "token").where(meets).groupBy("id_s", "id_l").agg(F.first("n_s").alias("n_s"), F.first("n_l").alias("n_l"))
     # estimates of sizes don't know what a set holds: none of these may be broadcast
     pivots = classes.select("id", "pivots").hint("merge")
-    both = pairs.join(pivots.select(F.col("id").alias("id_s"), F.col("pivots").alias("p_s")), "id_s").join(pivots.select(F.col("id").alias("id_l"), F.col("pivots").alias("p_l")), "id_l")
+    both = pairs.hint("merge").join(pivots.select(F.col("id").alias("id_s"), F.col("pivots").alias("p_s")), "id_s").join(pivots.select(F.col("id").alias("id_l"), F.col("pivots").alias("p_l")), "id_l")
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -186,7 +193,7 @@ def class_links(classes: DataFrame, threshold: float) -> DataFrame:
 
     left = cut(both.select("id_s", "id_l", "n_s", "n_l", "p_s", "p_l").mapInArrow(near, "id_s bigint, id_l bigint"))
     sets = classes.select("id", "shingles").hint("merge")
-    full = left.join(sets.select(F.col("id").alias("id_s"), F.col("shingles").alias("x")), "id_s").join(sets.select(F.col("id").alias("id_l"), F.col("shingles").alias("y")), "id_l")
+    full = left.hint("merge").join(sets.select(F.col("id").alias("id_s"), F.col("shingles").alias("x")), "id_s").join(sets.select(F.col("id").alias("id_l"), F.col("shingles").alias("y")), "id_l")
     shared = F.size(F.array_intersect("x", "y"))
     scored = full.withColumn("similarity", shared / (F.size("x") + F.size("y") - shared))
     return scored.where(F.col("similarity") >= threshold - 1e-12).select(F.least("id_s", "id_l").alias("a"), F.greatest("id_s", "id_l").alias("b"), "similarity")
@@ -204,16 +211,34 @@ def near_duplicates(items: DataFrame, key: str, text: str, threshold: float = 0.
     # the texts are read twice, so that the sets of copies needn't be stored beside those of their class
     members = cut(rows.select(key, name).distinct())
     # partitioned by class for good: no later join moves the sets of all classes again
-    classes = cut_by(rows.select(name, "n", "shingles", "pivots"), "id")
+    classes = cut_by(shingled(items, key, text, size, least_words, once=True).select(name, "n", "shingles", "pivots"), "id")
     return members, class_links(classes, threshold)
 
 
-def pairs(members: DataFrame, links: DataFrame, key: str) -> DataFrame:
-    """{key}_a < {key}_b: all pairs of keys that are alike; one row per pair, so copies are expanded."""
-    a, b = members.select(F.col(key).alias("x"), F.col("id").alias("a")), members.select(F.col(key).alias("y"), F.col("id").alias("b"))
-    linked = links.select("a", "b").join(a, "a").join(b, "b").select("x", "y")
-    equal = a.withColumnRenamed("a", "id").join(b.withColumnRenamed("b", "id"), "id").where(F.col("x") < F.col("y")).select("x", "y")
-    return linked.unionByName(equal).select(F.least("x", "y").alias(f"{key}_a"), F.greatest("x", "y").alias(f"{key}_b"))
+def pairs(members: DataFrame, links: DataFrame, key: str, block: int = 1000) -> DataFrame:
+    """{key}_a < {key}_b: all pairs of keys that are alike; one row per pair, so copies are expanded.
+
+    Members of a class are numbered off into blocks of about `block`, and blocks are joined: no key of a join has more rows, however
+    many copies a text has. Nothing is broadcast, as estimates of sizes don't know how many copies there are.
+    """
+    sizes = members.groupBy("id").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
+    # three tables by class: how many blocks it has, its members, and the pairs of classes and blocks that meet
+    own = members.join(sizes.hint("merge"), "id").select("id", F.pmod(F.xxhash64(key), F.col("blocks")).cast("int").alias("block"), F.col(key).alias("k"))
+
+    def numbered(t: DataFrame, side: str) -> DataFrame:
+        n = sizes.select(F.col("id").alias(side), F.col("blocks").alias("n")).hint("merge")
+        return t.join(n, side).withColumn(f"block_{side}", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).drop("n")
+
+    def side(name: str, out: str) -> DataFrame:
+        return own.select(F.col("id").alias(name), F.col("block").alias(f"block_{name}"), F.col("k").alias(out)).hint("merge")
+
+    linked = numbered(numbered(links.select("a", "b").hint("merge"), "a"), "b")
+    spread = linked.join(side("a", "x"), ["a", "block_a"]).join(side("b", "y"), ["b", "block_b"]).select("x", "y")
+    upper = sizes.select("id", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block_a"), "blocks").select(F.col("id").alias("a"), F.col("id").alias("b"), "block_a", F.explode(F.sequence(F.col("block_a"), F.col("blocks") - 1)).alias("block_b"))
+    several = members.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select(F.col("id").alias("a"))
+    inner = upper.join(several.hint("merge"), "a").join(side("a", "x"), ["a", "block_a"]).join(side("b", "y"), ["b", "block_b"])
+    equal = inner.where((F.col("block_a") < F.col("block_b")) | (F.col("x") < F.col("y"))).select("x", "y")
+    return spread.unionByName(equal).select(F.least("x", "y").alias(f"{key}_a"), F.greatest("x", "y").alias(f"{key}_b"))
 
 
 def components(nodes: DataFrame, links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -227,9 +252,9 @@ def components(nodes: DataFrame, links: DataFrame, most_rounds: int = 60) -> Dat
     for _ in range(most_rounds):
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least.hint("merge"), "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v")))
+        small = large.join(down.hint("merge"), "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v")))
         edges = cut(small.where(F.col("u") != F.col("v")).distinct())
         state = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if state == before:
@@ -237,7 +262,7 @@ def components(nodes: DataFrame, links: DataFrame, most_rounds: int = 60) -> Dat
         before = state
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    return nodes.select("id").distinct().join(edges.select(F.col("u").alias("id"), "v"), "id", "left").groupBy("id").agg(F.least(F.min("v"), F.col("id")).alias("group"))
+    return nodes.select("id").distinct().join(edges.select(F.col("u").alias("id"), "v").hint("merge"), "id", "left").groupBy("id").agg(F.least(F.min("v"), F.col("id")).alias("group"))
 
 
 def grouped(items: DataFrame, key: str, text: str, threshold: float = 0.8, size: int = 5, least_words: int = 5) -> DataFrame:
@@ -246,4 +271,4 @@ def grouped(items: DataFrame, key: str, text: str, threshold: float = 0.8, size:
     links = cut(links)
     degree = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count("*").alias("links"))
     found = components(members, links)
-    return members.join(found, "id").join(degree, "id", "left").select(key, F.col("id").alias("class_id"), F.col("group").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    return members.join(found.hint("merge"), "id").join(degree.hint("merge"), "id", "left").select(key, F.col("id").alias("class_id"), F.col("group").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))

@@ -91,3 +91,11 @@ def test_components(spark):
     for x in parent:
         least[root(x)] = min(least[root(x)], x)
     assert got == {i: least[root(i)] if i in parent else i for i in range(400)}
+
+
+def test_blocks_give_each_pair_once(spark):
+    members = spark.createDataFrame([(f"a{i:02}", 1) for i in range(23)] + [(f"b{i}", 2) for i in range(4)] + [("c", 3)], "chunk_id string, id bigint")
+    links = spark.createDataFrame([(1, 2, 0.7), (2, 3, 0.7)], "a bigint, b bigint, similarity double")
+    got = [tuple(r) for r in N.pairs(members, links, "chunk_id", block=5).collect()]
+    assert len(got) == len(set(got)) == 23 * 22 // 2 + 4 * 3 // 2 + 23 * 4 + 4 and all(a < b for a, b in got)
+    assert "Broadcast" not in N.pairs(members, links, "chunk_id")._jdf.queryExecution().executedPlan().toString()
