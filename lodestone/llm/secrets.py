@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 #: Fragments of which one stands near every credential (lower case).
 KEYWORDS = (
-    "pass", "pwd", "secret", "token", "key", "credential", "auth", "bearer", "login", "private", "://", "akia", "asia",
+    "pass", "pwd", "pw ", "creds", "secret", "token", "key", "credential", "auth", "bearer", "login", "private", "://", "akia", "asia",
     "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "sk_live_", "sk_test_", "rk_live_", "xoxb-", "xoxp-",
     "xoxa-", "xoxs-", "xoxr-", "eyj", "aiza", "npm_", "sg.", "hf_", "dop_v1_", "-----begin", "hooks.", "curl", "wget", "redis-cli", "mysql", "mariadb", "psql", "docker",
 )
@@ -79,15 +79,27 @@ _COMMAND = re.compile(
 _INSIDE = re.compile(r"(?i)(?:^|[;&?\s])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|access[_-]?token|client[_-]?secret|auth[_-]?token)=(?P<v>[^\s;&,]{6,})")
 _STRING = re.compile(r'"""|\'\'\'|"(?P<d>(?:[^"\\\r\n]|\\.)*)"|\'(?P<s>(?:[^\'\\\r\n]|\\.)*)\'|`(?P<b>(?:[^`\\\r\n]|\\.)*)`')
 _JOIN = re.compile(r"\s*(?:[+.&]|\\)?\s*\Z")
+_BLANKS = re.compile(r"\s+")
 _NAME_BEFORE = re.compile(r"(?:^|[^\w$.-])[\"'`]?([A-Za-z_$][\w$.-]*)[\"'`]?\s*(?::\s*[\w<>\[\]?. ]+)?\s*(?::=|=>|=|:)\s*(?:[bfru@$]{0,2})?\(?\s*\Z")
 _ARG_NAME = re.compile(r"[\"'`]([\w.\- ]+)[\"'`]\s*,\s*\Z")
 _SCHEME = re.compile(r"(?i)^(?:bearer|token|basic|apikey|api-key)\s+(?P<v>\S{8,})$")
 _BARE = re.compile(r"^\s*(?:export\s+|-\s+|set\s+)?[\"']?([A-Za-z_][\w.\-]*)[\"']?\s*[:=]\s*(?P<v>[^\s\"'`#][^\r\n]*?)\s*(?:\s#.*)?$")
-_NOTE = re.compile(r"(?i)\b(password|passwd|pwd|pass|secret|token|api[-_ ]?key|credentials?|login|key)\b[^\r\n]{0,30}?[:=/]\s*[\"'`]?(?P<v>[^\s\"'`,;()]{8,})")
+#: In a comment a name and, in the same clause, a sign or verb with what it states.
+_NOTE_NAME = re.compile(r"(?i)\b(?:password|passwd|pwd|pw|pass|passphrase|secret|token|api[-_ ]?key|credentials?|creds|login|key)\b")
+_NOTE_VALUE = re.compile(r"(?:[:=/]|\b(?:is|was|are)(?=\s))\s*[\"'`]?(?P<v>[^\s\"'`,;()]{8,})")
+_CLAUSE_END = re.compile(r"[.;,!?](?=\s|$)")
 _HEADER = re.compile(r"(?i)\b(?:authorization|x-[\w-]*(?:key|token|auth|secret)[\w-]*|[\w-]*api-?key)\s*:\s*(?:bearer |token |basic )?(?P<v>[^\s\"'`,;()]{8,})")
 _EOL = re.compile(r"\r\n|\n|\r")
-#: A line can hold or open a credential only with a quote, an assignment or a slash.
-_COULD = re.compile(r"[\"'`=:/(]")
+#: A line can hold or open a credential only with a quote, an assignment, a slash or a statement, or in an issuer's own format.
+_COULD = re.compile(r"[\"'`=:/(]|\s(?:is|was|are)\s")
+#: What ends a line whose literal goes on in the next, and what begins that one.
+_ENDS = re.compile(r"[\"'`]\s*(?:[+.&\\]\s*)?[\r\n]*\Z|\(\s*[\r\n]+\Z")
+_STARTS = re.compile(r"\s*(?:[+.&]\s*)?[\"'`]")
+_ONE_PIECE = re.compile(r"\s*(?:[+.&]\s*)?(?:\"(?:[^\"\\\r\n]|\\.)*\"|'(?:[^'\\\r\n]|\\.)*'|`(?:[^`\\\r\n]|\\.)*`)\s*(?:[+.&\\]\s*)?")
+_LOGIN_CALL = re.compile(r"(?i)\b(?:login|authenticate|auth|connect|signin|sign_in)\s*\(")
+_ENV_CALL = re.compile(r"(?i)(?:getenv|environ\.get|env|process\.env\.\w+|System\.getenv|readEnv|fromEnvironment)\b")
+_DEFAULT = re.compile(r"\s*(?:,|\?\?|\|\||\?:|\)\s*(?:\?\?|\|\||\?:|or\b))\s*(?:default\w*\s*[=:]\s*)?")
+_MASKED = re.compile(r"(?:[xX02]|[^\w\s])+|(?:[aA0]|[^\w\s])+")
 
 
 def credential_name(name: str) -> bool:
@@ -107,7 +119,7 @@ def credential_name(name: str) -> bool:
 def secret_like(value: str) -> bool:
     """Whether a value that stands under a credential's name can be a credential: no placeholder, reference or plain words."""
     v = value.strip()
-    if len(v) < 6 or any(c.isspace() for c in v) or _PLACEHOLDER.search(v):
+    if len(v) < 6 or any(c.isspace() for c in v) or _PLACEHOLDER.search(v) or _MASKED.fullmatch(v):
         return False
     letters, digits = sum(c.isalpha() for c in v), sum(c.isdigit() for c in v)
     if not letters and digits < 10:
@@ -166,16 +178,26 @@ def find(content: str, automaton=None) -> list[tuple[int, int, str]]:
     wanted: dict[int, set[str]] = {}
     for e, k in hits:
         wanted.setdefault(bisect.bisect_right(breaks, e) - 1, set()).add(k)
+    last = len(breaks) - 1
+    known: dict[int, bool] = {}
+
+    def goes_on(k: int) -> bool:
+        """Whether the literal at the end of line k is continued at the begin of the next."""
+        if k not in known:
+            known[k] = k + 1 < last and bool(_STARTS.match(content, breaks[k + 1], breaks[k + 2])) and bool(_ENDS.search(content[breaks[k] : breaks[k + 1]]))
+        return known[k]
+
     for i, words in sorted(wanted.items()):
         start, end = breaks[i], breaks[i + 1]
-        if not _COULD.search(content, start, end):
+        if not (_COULD.search(content, start, end) or any(k in _BY_KEYWORD for k in words)):
             continue
         j = i + 1  # a value may go on in the next lines, a key block in a list too
         if "-----begin" in words and not ("-----END" in content[start:end]):
-            while j < len(breaks) - 1 and _GOES_ON.fullmatch(content, breaks[j], breaks[j + 1]):
+            while j < last and _GOES_ON.fullmatch(content, breaks[j], breaks[j + 1]):
+                j += 1
+        if not (i and goes_on(i - 1) and _ONE_PIECE.fullmatch(content[start:end])):  # else it's a part of what began before
+            while j < last and goes_on(j - 1):
                 j += 1
-        while j < len(breaks) - 1 and j - i < 8 and (re.search(r"[\"'`]\s*(?:[+.&\\]\s*)?[\r\n]*\Z|\(\s*[\r\n]+\Z", content[breaks[j - 1] : breaks[j]]) and re.match(r"\s*[+.&]?\s*[\"'`]", content[breaks[j] : breaks[j] + 200])):
-            j += 1
         spans += _in_lines(content, start, breaks[j] if j > i + 1 else end, end, words)
     spans.sort()
     out: list[tuple[int, int, str]] = []
@@ -204,6 +226,22 @@ def _joined_keys(text: str, groups: list[list[tuple[int, int, str]]]) -> list[li
     return out
 
 
+def _notes(line: str, begin: int) -> list[re.Match]:
+    """Values that a comment states: after a sign or verb, with a credential's name before it in the same clause."""
+    names = [m.end() for m in _NOTE_NAME.finditer(line, begin)]
+    if not names:
+        return []
+    ends = [m.end() for m in _CLAUSE_END.finditer(line, begin)]
+    out, after = [], begin
+    for m in _NOTE_VALUE.finditer(line, names[0]):
+        k = bisect.bisect_left(ends, m.start()) - 1
+        i = bisect.bisect_right(names, m.start()) - 1
+        if i >= 0 and names[i] > max(after, ends[k] if k >= 0 else begin):
+            out.append(m)
+            after = m.end()
+    return out
+
+
 def _in_lines(content: str, start: int, stop: int, first_end: int, words: set[str]) -> list[tuple[int, int, str]]:
     """Credentials that begin on the line content[start:first_end]; its literals may go on up to stop."""
     line = content[start:first_end].rstrip("\r\n")
@@ -218,31 +256,41 @@ def _in_lines(content: str, start: int, stop: int, first_end: int, words: set[st
             out.append((start + a, start + b, "command"))
     text = content[start:stop].rstrip("\r\n")
     groups: list[list[tuple[int, int, str]]] = []
-    last = None
+    opened: list[tuple[int, int]] = []  # begin and end of each literal, quotes included
+    at_literal: dict[int, int] = {}
+    joins = False
     for m in _STRING.finditer(text):
+        opened.append(m.span())
         if m.lastgroup is None:
-            last = None
+            joins = False
             continue
         at, to, value = m.start(m.lastgroup), m.end(m.lastgroup), m.group(m.lastgroup)
-        gap = text[last:m.start()] if last is not None else None
+        at_literal[at] = len(opened) - 1
+        gap = text[opened[-2][1] : m.start()] if joins else None
         if gap is not None and _JOIN.match(gap) and (gap.strip() or "\n" in gap or "\r" in gap):
             groups[-1].append((at, to, value))
         else:
             groups.append([(at, to, value)])
-        last = m.end()
+        joins = True
     keys = _joined_keys(text, groups)
     taken = {a for g in keys for a, _, _ in g}
     groups = [g for g in groups if not any(a in taken for a, _, _ in g)]
     for g in keys:
         out.append((start + g[0][0], start + g[0][1], "joined key"))
         out += [(start + a, start + b, "part") for a, b, _ in g[1:]]
+    logins = {m.end() - 1 for m in _LOGIN_CALL.finditer(text)}
+    env_calls = [m.end() for m in _ENV_CALL.finditer(text)] if "env" in text.lower() else []
+    bracket = seen = 0
     for g in groups:
         at = g[0][0]
         value = "".join(v for _, _, v in g)
         if at - 1 >= len(line):  # begins on a later line: only what follows an open bracket belongs here
             if not re.search(r"[=(:]\s*\Z", line):
                 continue
-        before = text[max(0, at - 401) : at - 1]  # a name or call stands close by
+        n = at_literal[at]
+        bracket, seen = max(text.rfind("(", seen, at), text.rfind(")", seen, at), bracket), at  # the last one before the literal
+        before = _BLANKS.sub(" ", text[opened[n - 2][1] if n > 1 else 0 : at - 1])  # from the literal before the last one on
+        gap = text[opened[n - 1][1] : at - 1] if n else ""
         kind = ""
         if len(g) > 1:
             kind = next((k for k, p in _ISSUER if (m := p.search(value)) and _issuer_ok(k, m.group("v"))), "")
@@ -252,20 +300,20 @@ def _in_lines(content: str, start: int, stop: int, first_end: int, words: set[st
                 out.append((start + at + off, start + g[0][1], "scheme"))
                 continue
             kind = "scheme"
-        if not kind:
+        if not kind and secret_like(value):
             name = ""
             if m := _NAME_BEFORE.search(before):
                 name = m.group(1)
             elif m := _ARG_NAME.search(before):
                 name = m.group(1)
-                if "@" not in name and not credential_name(name):
-                    name = ""
-            if name and credential_name(name) and secret_like(value):
+            if name and credential_name(name):
                 kind = "named"
-            elif re.search(r"(?i)\b(?:login|authenticate|auth|connect|signin|sign_in)\s*\([^()]*[\"'`],\s*[\"'`]?\Z", before) and secret_like(value):
+            elif n and bracket in logins and _BLANKS.sub("", gap) == ",":
                 kind = "login"
-            elif re.search(r"(?i)(?:getenv|environ\.get|env|process\.env\.\w+|System\.getenv|readEnv|fromEnvironment)\b[^\r\n]*?[\"'`]([\w.\-]+)[\"'`]\s*(?:,|\?\?|\|\||\?:)\s*(?:default\w*\s*[=:]\s*)?\Z", before) and secret_like(value) and (m := re.search(r"[\"'`]([\w.\-]+)[\"'`]\s*(?:,|\?\?|\|\||\?:|\)\s*(?:\?\?|\|\||\?:|or))\s*(?:default\w*\s*[=:]\s*)?\Z", before)) and credential_name(m.group(1)):
-                kind = "default"
+            elif env_calls and n and _DEFAULT.fullmatch(gap) and (m := re.fullmatch(r"[\"'`]([\w.\-]+)[\"'`]", text[slice(*opened[n - 1])])) and credential_name(m.group(1)):
+                k = bisect.bisect_right(env_calls, opened[n - 1][0]) - 1
+                if k >= 0 and not _EOL.search(text, env_calls[k], opened[n - 1][0]):
+                    kind = "default"
         if not kind:
             for a, _, v in g:
                 out += [(start + a + m.start("v"), start + a + m.end("v"), "inside") for m in _INSIDE.finditer(v) if secret_like(m.group("v"))]
@@ -280,10 +328,10 @@ def _in_lines(content: str, start: int, stop: int, first_end: int, words: set[st
                 if not re.match(r"^[A-Za-z_]\w*$", value) or re.match(r"^\s*(?:export\s+)?[A-Z][A-Z0-9_]*=", line) or ":" in line and not line.rstrip().endswith((";", "{", ",")):
                     more.append((start + m.start("v"), start + m.start("v") + len(value), "bare"))
     if comment := re.search(r"(?:#|//|/\*|\*|--|;)\s", line):
-        for p in (_HEADER, _NOTE):
-            for m in p.finditer(line, comment.end()):
-                if secret_like(m.group("v")) and len(m.group("v")) >= 8 and re.search(r"\d", m.group("v")):
-                    more.append((start + m.start("v"), start + m.end("v"), "comment"))
+        found = list(_HEADER.finditer(line, comment.end())) + _notes(line, comment.end())
+        for m in found:
+            if secret_like(m.group("v")) and re.search(r"\d|[#$!%^&*?~+](?=\w)", m.group("v")):
+                more.append((start + m.start("v"), start + m.end("v"), "comment"))
     for x in more:  # what is known more closely stays as it is
         if all(x[1] <= a or b <= x[0] for a, b, _ in out):
             out.append(x)
@@ -291,8 +339,12 @@ def _in_lines(content: str, start: int, stop: int, first_end: int, words: set[st
 
 
 def masked(value: str) -> str:
-    """A placeholder of the same length: letters become x or X, digits 0, all else stays."""
-    return "".join("0" if c.isdigit() else "X" if c.isupper() else "x" if c.isalpha() else c for c in value)
+    """A placeholder of the same length and alphabet: letters become x or X (a or A in hexadecimal values), digits 0 (2 in base 32), all else stays."""
+    letters = {c for c in value if c.isalpha()}
+    digits = {c for c in value if c.isdigit()}
+    small, large = ("a", "A") if letters and digits and (letters <= set("abcdef") or letters <= set("ABCDEF")) else ("x", "X")
+    digit = "2" if letters and digits and digits <= set("234567") and all("A" <= c <= "Z" for c in letters) else "0"
+    return "".join(digit if c.isdigit() else large if c.isupper() else small if c.isalpha() else c for c in value)
 
 
 def mask(content: str, spans: list[tuple[int, int, str]]) -> str:
