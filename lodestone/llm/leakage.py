@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.neardup import _MIX, _scramble
-from lodestone.llm.skeleton import skeleton
+from lodestone.llm.skeleton import Skeletons, confusables
 from lodestone.session import cut
 
 _WORD = re.compile(r"[^\W_]+")
@@ -34,14 +34,18 @@ LEAST_LOG2, MOST_LOG2 = 20, 26
 _SEGMENT = re.compile(r"[\x00-\x7f]?[^\x00-\x7f]+")
 
 
-@lru_cache(maxsize=1 << 16)
-def _composed(segment: str) -> str:
-    return unicodedata.normalize("NFC", skeleton(segment))
+class Words:
+    """Splits texts into words: maximal runs of letters or digits, after look-alike differences (see skeleton) and case are set aside."""
 
+    def __init__(self, more: dict[int, str] | None = None):
+        form = Skeletons(more)
+        self.composed = lru_cache(maxsize=1 << 16)(lambda segment: unicodedata.normalize("NFC", form(segment)))
 
-def words_of(text: str) -> list[str]:
-    """Maximal runs of letters or digits, after look-alike differences and case are set aside."""
-    return _WORD.findall((text if text.isascii() else _SEGMENT.sub(lambda m: _composed(m.group()), text)).lower())
+    def __call__(self, text: str) -> list[str]:
+        return _WORD.findall((text if text.isascii() else _SEGMENT.sub(lambda m: self.composed(m.group()), text)).lower())
+
+
+words_of = Words()
 
 
 class _Hashes(dict):
@@ -67,10 +71,10 @@ def _shingles(words: list[str], size: int, cache: _Hashes) -> np.ndarray:
 
 def _tokens(rows: DataFrame, key: str, text: str, size: int, bits=None) -> DataFrame:
     """key, text_hash, pos, n (words), token: the shingles of each text; with `bits` (a broadcast bit set) only those that are in it."""
-    kind = rows.schema[key].dataType.simpleString()
+    kind, more = rows.schema[key].dataType.simpleString(), confusables(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _Hashes()
+        cache, words_of = _Hashes(), Words(more)
         table = None if bits is None else np.frombuffer(bits.value, dtype=np.uint8)
         for b in batches:
             owner, place, count, token, same = [], [], [], [], []

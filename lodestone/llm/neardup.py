@@ -215,30 +215,39 @@ def near_duplicates(items: DataFrame, key: str, text: str, threshold: float = 0.
     return members, class_links(classes, threshold)
 
 
-def pairs(members: DataFrame, links: DataFrame, key: str, block: int = 1000) -> DataFrame:
-    """{key}_a < {key}_b: all pairs of keys that are alike; one row per pair, so copies are expanded.
+def _numbered(members: DataFrame, key: str, block: int) -> tuple[DataFrame, DataFrame]:
+    """(sizes, own): how many blocks of about `block` members each class has, and the members with their block."""
+    sizes = members.groupBy("id").agg(F.count("*").alias("count"), F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
+    return sizes, members.hint("merge").join(sizes.hint("merge"), "id").select("id", F.pmod(F.xxhash64(key), F.col("blocks")).cast("int").alias("block"), F.col(key).alias("k"))
+
+
+def _side(own: DataFrame, name: str, out: str) -> DataFrame:
+    return own.select(F.col("id").alias(name), F.col("block").alias(f"block_{name}"), F.col("k").alias(out)).hint("merge")
+
+
+def expanded(members: DataFrame, links: DataFrame, key: str, block: int = 1000) -> DataFrame:
+    """x, y: the members of linked classes (links has a, b), each pair once.
 
     Members of a class are numbered off into blocks of about `block`, and blocks are joined: no key of a join has more rows, however
     many copies a text has. Nothing is broadcast, as estimates of sizes don't know how many copies there are.
     """
-    sizes = members.groupBy("id").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
-    # three tables by class: how many blocks it has, its members, and the pairs of classes and blocks that meet
-    own = members.join(sizes.hint("merge"), "id").select("id", F.pmod(F.xxhash64(key), F.col("blocks")).cast("int").alias("block"), F.col(key).alias("k"))
-
-    def numbered(t: DataFrame, side: str) -> DataFrame:
+    sizes, own = _numbered(members, key, block)
+    pairs = links.select("a", "b")
+    for side in ("a", "b"):
         n = sizes.select(F.col("id").alias(side), F.col("blocks").alias("n")).hint("merge")
-        return t.join(n, side).withColumn(f"block_{side}", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).drop("n")
+        pairs = pairs.hint("merge").join(n, side).withColumn(f"block_{side}", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).drop("n")
+    return pairs.hint("merge").join(_side(own, "a", "x"), ["a", "block_a"]).hint("merge").join(_side(own, "b", "y"), ["b", "block_b"]).select("x", "y")
 
-    def side(name: str, out: str) -> DataFrame:
-        return own.select(F.col("id").alias(name), F.col("block").alias(f"block_{name}"), F.col("k").alias(out)).hint("merge")
 
-    linked = numbered(numbered(links.select("a", "b").hint("merge"), "a"), "b")
-    spread = linked.join(side("a", "x"), ["a", "block_a"]).join(side("b", "y"), ["b", "block_b"]).select("x", "y")
-    upper = sizes.select("id", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block_a"), "blocks").select(F.col("id").alias("a"), F.col("id").alias("b"), "block_a", F.explode(F.sequence(F.col("block_a"), F.col("blocks") - 1)).alias("block_b"))
-    several = members.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select(F.col("id").alias("a"))
-    inner = upper.join(several.hint("merge"), "a").join(side("a", "x"), ["a", "block_a"]).join(side("b", "y"), ["b", "block_b"])
+def pairs(members: DataFrame, links: DataFrame, key: str, block: int = 1000) -> DataFrame:
+    """{key}_a < {key}_b: all pairs of keys that are alike; one row per pair, so copies are expanded, block by block (see `expanded`)."""
+    linked = expanded(members, links, key, block)
+    sizes, own = _numbered(members, key, block)
+    each = sizes.where("count > 1").select("id", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block_a"), "blocks")
+    upper = each.select(F.col("id").alias("a"), F.col("id").alias("b"), "block_a", F.explode(F.sequence(F.col("block_a"), F.col("blocks") - 1)).alias("block_b"))
+    inner = upper.hint("merge").join(_side(own, "a", "x"), ["a", "block_a"]).hint("merge").join(_side(own, "b", "y"), ["b", "block_b"])
     equal = inner.where((F.col("block_a") < F.col("block_b")) | (F.col("x") < F.col("y"))).select("x", "y")
-    return spread.unionByName(equal).select(F.least("x", "y").alias(f"{key}_a"), F.greatest("x", "y").alias(f"{key}_b"))
+    return linked.unionByName(equal).select(F.least("x", "y").alias(f"{key}_a"), F.greatest("x", "y").alias(f"{key}_b"))
 
 
 def components(nodes: DataFrame, links: DataFrame, most_rounds: int = 60) -> DataFrame:

@@ -80,3 +80,19 @@ def test_mix(spark):
     assert sorted(map(tuple, mixed.collect())) == sorted(map(tuple, mixing.mix(D.repartition(7), T)[0].collect()))  # the same whatever the partitioning
     assert mixing.expand(mixed).count() == sum(r.copies for r in mixed.collect())
     assert mixing.mix(D.limit(0), T)[0].count() == 0 and mixing.mix(D, T.limit(0))[1].count() == 0
+
+
+def test_public_table(spark):
+    more = skeleton.confusables(spark)
+    form = skeleton.Skeletons(more)
+    assert len(more) > 200 and {form("α"), form("ι"), form("ρ"), form("υ"), form("ց")} == {"a", "i", "p", "u", "g"} and form("к") == form("κ")
+    assert all(form(form(chr(c))) == form(chr(c)) for c in more)
+    for a, b in UNLIKE:
+        assert form(a) != form(b)
+    assert [form(x) for x in ("ı", "ß", "²", "①", "é", "З", "Ь")] == ["ı", "ß", "²", "①", "é", "З", "Ь"]  # seen: another letter of the script, digits, accents, other case
+
+
+def test_popular_text_with_one_variant(spark):
+    rows = [(i, "the same note") for i in range(300)] + [(900, "the ѕame note"), (901, "the sаme note"), (902, "another")]
+    got = [tuple(r) for r in skeleton.look_alikes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]
+    assert len(got) == len(set(got)) == 601 and all(a < b for a, b in got)
