@@ -89,7 +89,7 @@ def test_public_table(spark):
     assert all(form(form(chr(c))) == form(chr(c)) for c in more)
     for a, b in UNLIKE:
         assert form(a) != form(b)
-    assert [form(x) for x in ("ı", "ß", "²", "①", "é", "З", "Ь")] == ["ı", "ß", "²", "①", "é", "З", "Ь"]  # seen: another letter of the script, digits, accents, other case
+    assert [form(x) for x in ("ı", "ß", "²", "①", "З", "Ь")] == ["ı", "ß", "²", "①", "З", "Ь"]  # seen: another letter of the script, digits, other case
 
 
 def test_popular_text_with_one_variant(spark):
