@@ -11,7 +11,6 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,14 +32,15 @@ def record_hashes(*columns: str) -> tuple[Column, Column]:
 def build(state: DataFrame, key: str, value: str, fanout_bits: int = 4, levels: int = 4) -> DataFrame:
     """level, node, d1, d2, n: the tree of a state (one row per key); level 0 is the root, `levels` the leaves."""
     one, two = record_hashes(key, value)
-    leaves = state.groupBy(leaf_of(key, fanout_bits, levels).alias("node")).agg(F.bit_xor(one).alias("d1"), F.bit_xor(two).alias("d2"), F.count("*").alias("n"))
+    leaves = state.groupBy(leaf_of(key, fanout_bits, levels).alias("node")).agg(F.bit_xor(one).alias("d1"), F.bit_xor(two).alias("d2"), F.count("*").alias("n"))  # at most 2 ** (fanout_bits * levels) rows
     return tree_of(leaves, fanout_bits, levels)
 
 
 def tree_of(leaves: DataFrame, fanout_bits: int, levels: int) -> DataFrame:
-    """level, node, d1, d2, n: the tree over its leaves (node, d1, d2, n)."""
-    leaves = cut(leaves)  # at most 2 ** (fanout_bits * levels) rows
-    return reduce(DataFrame.unionByName, [_level(leaves, fanout_bits, levels, at) for at in range(levels + 1)])
+    """level, node, d1, d2, n: the tree over its leaves (node, d1, d2, n), all levels by one aggregation."""
+    above = F.array(*(F.struct(F.lit(at).alias("level"), F.shiftright("node", fanout_bits * (levels - at)).alias("node")) for at in range(levels + 1)))
+    spread = leaves.select(F.explode(above).alias("at"), "d1", "d2", "n")
+    return spread.groupBy("at.level", "at.node").agg(F.bit_xor("d1").alias("d1"), F.bit_xor("d2").alias("d2"), F.sum("n").alias("n"))
 
 
 def _level(leaves: DataFrame, fanout_bits: int, levels: int, at: int, *more: str) -> DataFrame:
@@ -48,18 +48,27 @@ def _level(leaves: DataFrame, fanout_bits: int, levels: int, at: int, *more: str
     return leaves.groupBy(*more, node.alias("node")).agg(F.bit_xor("d1").alias("d1"), F.bit_xor("d2").alias("d2"), F.sum("n").alias("n")).withColumn("level", F.lit(at))
 
 
+#: Up to so many nodes of a level (8 bytes each) are kept by the driver while it descends; wider levels stay distributed.
+FEW_NODES = 4096
+
+
 def changed_leaves(saved: DataFrame, current: DataFrame, fanout_bits: int = 4, levels: int = 4) -> DataFrame:
     """node of the leaves whose digests differ (or that one side lacks), found by descending from the root."""
     open_nodes = None
     for at in range(levels + 1):
         a, b = (t.where(F.col("level") == at) for t in (saved, current))
-        if open_nodes is not None:
+        if isinstance(open_nodes, list):
+            a, b = (t.where(F.shiftright("node", fanout_bits).isin(open_nodes)) for t in (a, b))
+        elif open_nodes is not None:
             a, b = (t.join(open_nodes, F.shiftright(t["node"], fanout_bits) == open_nodes["parent"], "left_semi") for t in (a, b))
-        a = a.select("node", F.col("d1").alias("a1"), F.col("d2").alias("a2"), F.col("n").alias("an"))
-        both = a.join(b.select("node", "d1", "d2", "n"), "node", "full_outer")
-        differ = both.where(~(F.col("a1").eqNullSafe(F.col("d1")) & F.col("a2").eqNullSafe(F.col("d2")) & F.col("an").eqNullSafe(F.col("n"))))
-        # few rows; without the cut each level would plan the one above twice
-        open_nodes = cut(differ.select(F.col("node").alias("parent")))
+        # one row a node and side: equal sides leave nothing
+        sides = a.withColumn("side", F.lit(0)).unionByName(b.withColumn("side", F.lit(1))).groupBy("node")
+        differ = sides.agg(F.count("*").alias("c"), F.bit_xor("d1").alias("d1"), F.bit_xor("d2").alias("d2"), F.bit_xor("n").alias("n")).where("c < 2 OR d1 <> 0 OR d2 <> 0 OR n <> 0").select(F.col("node").alias("parent"))
+        if at < levels and fanout_bits * at <= FEW_NODES.bit_length() - 1:
+            open_nodes = [r["parent"] for r in differ.collect()]
+        else:
+            # few rows; without the cut each level would plan the one above twice
+            open_nodes = cut(differ)
     return open_nodes.select(F.col("parent").alias("node"))
 
 
