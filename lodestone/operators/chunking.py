@@ -9,12 +9,14 @@ from lodestone.functions.text import lines
 
 
 def windows(files: DataFrame, size: int = 60, stride: int = 45, content: str = "content") -> DataFrame:
-    """start_line, end_line, text of the sliding windows of each file; blank ones are dropped, short last ones stay."""
-    ls = lines(F.col(content))
-    cut = files.where(F.col(content).isNotNull()).withColumn("ls", ls).where(F.size("ls") > 0)
-    at = cut.withColumn("start_line", F.explode(F.sequence(F.lit(1), F.size("ls"), F.lit(stride))))
-    out = at.withColumns({"end_line": F.least(F.col("start_line") + size - 1, F.size("ls")), "text": F.array_join(F.slice("ls", F.col("start_line"), F.lit(size)), "\n")})
-    return out.where(F.trim(F.regexp_replace("text", r"\s+", "")) != "").drop("ls")
+    """The files' other columns with start_line, end_line, text of their sliding windows; blank ones are dropped, short last ones stay."""
+    starts = F.sequence(F.lit(1), F.size("__ls"), F.lit(stride))
+    window = lambda at: F.struct(at.alias("start_line"), F.least(at + size - 1, F.size("__ls")).alias("end_line"), F.array_join(F.slice("__ls", at, F.lit(size)), "\n").alias("text"))
+    cut = files.where(F.col(content).isNotNull()).withColumn("__ls", lines(F.col(content))).where(F.size("__ls") > 0)
+    # windows are cut before rows are multiplied: a row holds its own lines only
+    rest = [c for c in files.columns if c != content]
+    out = cut.select(*rest, F.explode(F.transform(starts, window)).alias("__w")).select(*rest, "__w.*")
+    return out.where(F.trim(F.regexp_replace("text", r"\s+", "")) != "")
 
 
 def sentence_offsets(n: Column, step: int = 5) -> Column:
@@ -66,12 +68,12 @@ def gaps(spans: DataFrame, sizes: DataFrame, key: list[str], least: int = 20) ->
     return out.select(*key, F.col("a").alias("start_line"), F.col("b").alias("end_line"))
 
 
-#: Lines that belong to a module's preamble.
-PREAMBLE = r"^\s*(#|//|/\*|\*|import\b|from\b|package\b|use\b|using\b|export \*|part\b|library\b|\"\"\"|''')"
+#: How lines begin that belong to a module's preamble.
+PREAMBLE = r"^\s*(?:import|from|use\s|#|//|/\*|\*|package\s|@file|library\s|part\s)"
 
 
 def module_end(content: Column, most: int = 50) -> Column:
-    """Where a module's preamble ends: two lines past its first line of code, within the first 50 lines."""
+    """Where a module's preamble ends: with the line after its first line of code, within the first 50 lines."""
     head = F.slice(lines(content), 1, most)
     code = F.array_position(F.transform(head, lambda x: (F.trim(x) != "") & ~x.rlike(PREAMBLE)), F.lit(True))
-    return F.when(code > 0, F.least(code + 2, F.size(head).cast("bigint"))).otherwise(F.size(head).cast("bigint"))
+    return F.when(code > 0, F.least(code + 1, F.size(head).cast("bigint"))).otherwise(F.size(head).cast("bigint"))

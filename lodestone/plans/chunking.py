@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.operators import build as B
 from lodestone.operators import chunking as C
-from lodestone.plans.corpus import sql_lines
+from lodestone.plans.corpus import _SQL_FLAGS, flagged, sql_lines
 from lodestone.plans.registry import query
 from lodestone.sources.tables import table
 
@@ -100,7 +101,7 @@ _SQL_PRE = C.PREAMBLE.replace("'", "''")
 @query(
     f"""WITH f AS (SELECT file_id, list_slice({sql_lines('content')}, 1, 50) AS h FROM repo_file WHERE content IS NOT NULL),
      g AS (SELECT file_id, len(h) AS n, coalesce(list_position(list_transform(h, lambda x: trim(x) <> '' AND NOT regexp_matches(x, '{_SQL_PRE}')), true), 0) AS code FROM f)
-     SELECT file_id, CASE WHEN code > 0 THEN least(code + 2, n) ELSE n END AS module_end FROM g"""
+     SELECT file_id, CASE WHEN code > 0 THEN least(code + 1, n) ELSE n END AS module_end FROM g"""
 )
 def q_module_chunk(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "repo_file").where("content IS NOT NULL").select("file_id", C.module_end(F.col("content")).alias("module_end"))
@@ -110,3 +111,57 @@ def q_module_chunk(spark: SparkSession, d: str) -> DataFrame:
 def q_chunk_type_hist(spark: SparkSession, d: str) -> DataFrame:
     once = table(spark, d, "chunks").groupBy("chunk_id", "chunk_type").agg(F.max("summary").alias("summary"))
     return once.groupBy("chunk_type").agg(F.count("*").alias("n"), F.count_if(F.trim(F.coalesce("summary", F.lit(""))) != "").alias("summarised"))
+
+
+def _files(spark: SparkSession, d: str) -> DataFrame:
+    return flagged(spark, d).select("repo_name", "path", "language", "content")
+
+
+@query(
+    f"""WITH {_SQL_FLAGS}, h AS (SELECT *, list_slice(ls, 1, 50) AS h FROM flags),
+     g AS (SELECT *, len(h) AS n, coalesce(list_position(list_transform(h, lambda x: trim(x) <> '' AND NOT regexp_matches(x, '{_SQL_PRE}')), true), 0) AS code FROM (SELECT file_id, repo_name, path, language, {sql_lines('content')} AS ls, list_slice({sql_lines('content')}, 1, 50) AS h FROM flags)),
+     e AS (SELECT *, (CASE WHEN code > 0 THEN least(code + 1, n) ELSE n END)::INT AS module_end FROM g)
+     SELECT repo_name, path AS file_path, greatest(1, module_end)::INT AS end_line, md5('# File: ' || path || chr(10) || '# Language: ' || language || chr(10) || '# Lines: ' || len(ls) || chr(10) || chr(10) || array_to_string(list_slice(h, 1, module_end), chr(10))) AS content_hash FROM e"""
+)
+def q_module_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return B.module_chunks(_files(spark, d)).select("repo_name", "file_path", "end_line", F.md5("content").alias("content_hash"))
+
+
+@query()
+def q_chunks_from_files(spark: SparkSession, d: str) -> DataFrame:
+    """Scan to chunks: every file cut by its parser, with ids, hashes and no text."""
+    return B.chunked(_files(spark, d)).select("chunk_id", "repo_name", "file_path", "chunk_type", "symbol_name", "parent_symbol", "start_line", "end_line", "content_hash")
+
+
+@query()
+def q_chunk_links(spark: SparkSession, d: str) -> DataFrame:
+    """The links of the chunks that files are cut into."""
+    return B.linked(B.chunked(_files(spark, d)))
+
+
+@query("SELECT DISTINCT chunk_id, md5('# ' || file_path || ':' || start_line || chr(10) || content) AS located FROM chunks WHERE content IS NOT NULL AND start_line IS NOT NULL AND chunk_type <> 'import'")
+def q_located(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks under the line that says where they stand, as they are embedded."""
+    c = chunk_texts(spark, d, "chunk_id", "file_path", "chunk_type", "start_line", "content").where("content IS NOT NULL AND start_line IS NOT NULL AND chunk_type <> 'import'")
+    return c.select("chunk_id", F.md5(B.located(F.col("file_path"), F.col("start_line"), F.col("content"))).alias("located")).distinct()
+
+
+@query(
+    f"""WITH {_SQL_SPANS}, cov AS (SELECT repo_name, count(DISTINCT (file_path, line)) AS covered FROM (SELECT repo_name, file_path, unnest(generate_series(start_line, end_line)) AS line FROM spans) GROUP BY 1),
+     n AS (SELECT repo_name, sum(len({sql_lines('content')})) AS lines FROM repo_file WHERE content IS NOT NULL GROUP BY 1)
+     SELECT repo_name, coalesce(covered, 0) AS covered, lines::BIGINT AS lines, round(CASE WHEN lines > 0 THEN coalesce(covered, 0) / lines ELSE 0 END, 9) AS coverage FROM n LEFT JOIN cov USING (repo_name)"""
+)
+def q_line_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Covered lines by all lines of each repository."""
+    cov = C.islands(_spans(spark, d), FILE).groupBy("repo_name").agg(F.sum(F.col("end_line") - F.col("start_line") + 1).alias("covered"))
+    n = table(spark, d, "repo_file").where("content IS NOT NULL").groupBy("repo_name").agg(F.sum(T.line_count(F.col("content"))).cast("bigint").alias("lines"))
+    c = F.coalesce("covered", F.lit(0))
+    return n.join(cov, "repo_name", "left").select("repo_name", c.alias("covered"), "lines", F.round(F.when(F.col("lines") > 0, c / F.col("lines")).otherwise(0.0), 9).alias("coverage"))
+
+
+@query("SELECT repo_name, count(*) AS chunks, count_if(chunk_type = 'block' AND contains(coalesce(symbol_name, ''), '_block_')) AS split_blocks FROM (SELECT DISTINCT chunk_id, repo_name, chunk_type, symbol_name FROM chunks) GROUP BY 1")
+def q_split_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks that were cut out of long functions, by repository."""
+    c = chunks_once(spark, d, "chunk_id", "repo_name", "chunk_type", "symbol_name")
+    cut = (F.col("chunk_type") == "block") & F.coalesce("symbol_name", F.lit("")).contains("_block_")
+    return c.groupBy("repo_name").agg(F.count("*").alias("chunks"), F.count_if(cut).alias("split_blocks"))
