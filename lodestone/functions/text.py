@@ -166,3 +166,41 @@ def _wrapped(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 tabs_expanded = F.pandas_udf(StringType())(_tabs)
 #: Lines of 72 characters at most (Python, by Arrow).
 wrapped = F.pandas_udf(StringType())(_wrapped)
+
+
+def fence_stripped(c: Column) -> Column:
+    """A text without the code fence around it."""
+    s = F.trim(c)
+    inner = F.regexp_replace(F.regexp_replace(s, r"^```[^\n]*(\n|$)", ""), r"\n?[ \t]*```[ \t]*$", "")
+    return F.when(s.startswith("```"), inner).otherwise(s)
+
+
+def json_list(c: Column, size: Column) -> Column:
+    """The trimmed items of a JSON array of `size` strings, perhaps within a code fence; null for anything else."""
+    items = F.from_json(fence_stripped(c), "array<string>")
+    return F.when(F.size(items) == size, F.transform(items, lambda x: F.trim(x)))
+
+
+def service_base(url: Column) -> Column:
+    """A model service's base address: without the endpoint and final slashes."""
+    return F.regexp_replace(F.regexp_replace(F.trim(url), r"/chat/completions/?$", ""), "/+$", "")
+
+
+def hosted_repository(url: Column) -> Column:
+    """Whether an address is that of a repository on the public host."""
+    return F.coalesce(F.trim(url).startswith("https://github.com/") | F.trim(url).startswith("http://github.com/"), F.lit(False))
+
+
+def same_set(a: Column, b: Column) -> Column:
+    """Whether two arrays have the same distinct items."""
+    return F.array_sort(F.array_distinct(a)) == F.array_sort(F.array_distinct(b))
+
+
+def unlisted(found: Column, listed: Column) -> Column:
+    """What is in one array and not in the other, sorted."""
+    return F.array_sort(F.array_except(found, listed))
+
+
+def utc_iso(c: Column) -> Column:
+    """A time as ISO 8601 in UTC, with microseconds."""
+    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")

@@ -32,10 +32,9 @@ def categories(layer: Column, blast: Column, coupled: Column, changed: Column, m
 
 
 def review_order(chunks: DataFrame, changed: DataFrame | None = None, least: int = 3) -> DataFrame:
-    """chunk_id, tier, lines, place: changed functions first, then others and classes, then blocks; the longest first.
+    """chunk_id, tier, lines: changed functions first, then others and classes, then blocks; the longest first (`flow.queue` gives places).
 
-    Without `changed` (node) every function counts as changed. Chunks of fewer than `least` lines or other types have no place.
-    `place` ranks within a tier in one window each; a report takes the first few of the global order by (tier, place).
+    Without `changed` (node) every function counts as changed. Chunks of fewer than `least` lines or other types have no tier.
     """
     n = F.col("end_line") - F.col("start_line") + 1
     c = chunks.where(F.col("chunk_type").isin("function", "method", "class", "block") & (n >= least)).select("chunk_id", "chunk_type", n.alias("lines"))
@@ -135,13 +134,6 @@ def rendered(groups: DataFrame, platform: str = "markdown") -> DataFrame:
     return groups.withColumn("body", body)
 
 
-def payload(comments: DataFrame) -> DataFrame:
-    """Review comments as JSON rows: anchored to several lines or one; those without a line belong to the summary."""
-    several = F.col("end_line") > F.col("line")
-    at = F.struct(F.col("file").cast("string").alias("path"), F.when(several, F.col("line")).alias("start_line"), F.when(several, F.col("end_line")).otherwise(F.col("line")).alias("line"), "body")
-    return comments.where(F.col("line") > 0).select("file", "line", F.to_json(at).alias("payload"))
-
-
 def embed_text(language: Column, path: Column, symbol: Column, content: Column, most: int = 60) -> Column:
     """The text a chunk is embedded by: a line that says what it is, then its first lines."""
     return F.concat(F.lit("# "), F.concat_ws(" ", language, symbol, F.lit("in"), path), F.lit("\n"), head_lines(content, most))
@@ -149,9 +141,11 @@ def embed_text(language: Column, path: Column, symbol: Column, content: Column,
 
 def context(chunks: DataFrame, parents: DataFrame, dependencies: DataFrame, content: str = "content") -> DataFrame:
     """chunk_id, text: a chunk with its parent's first ten lines and up to three dependencies' first eight, in fixed order."""
-    body = chunks.select(F.col("chunk_id").alias("k"), F.col("symbol_name").alias("s"), F.col(content).alias("c"))
+    # only heads are joined: ten lines and eight
+    text = F.coalesce(F.col(content), F.lit(""))
+    body = chunks.select(F.col("chunk_id").alias("k"), F.col("symbol_name").alias("s"), head_lines(text, 10).alias("ten"), head_lines(text, 8).alias("eight"))
     own = chunks.select("chunk_id", F.concat(F.lit("## Code\n"), head_lines(F.coalesce(F.col(content), F.lit("")), 150)).alias("code"))
-    up = parents.where("parent_id IS NOT NULL").join(body, F.col("parent_id") == F.col("k")).select("chunk_id", F.concat(F.lit("## Parent\n"), head_lines(F.coalesce("c", F.lit("")), 10)).alias("parent"))
-    deps = dependencies.join(body, F.col("dst") == F.col("k")).select(F.col("src").alias("chunk_id"), "place", F.concat(F.lit("## Uses "), F.coalesce("s", F.lit("")), F.lit("\n"), head_lines(F.coalesce("c", F.lit("")), 8)).alias("t"))
+    up = parents.where("parent_id IS NOT NULL").join(body, F.col("parent_id") == F.col("k")).select("chunk_id", F.concat(F.lit("## Parent\n"), "ten").alias("parent"))
+    deps = dependencies.join(body, F.col("dst") == F.col("k")).select(F.col("src").alias("chunk_id"), "place", F.concat(F.lit("## Uses "), F.coalesce("s", F.lit("")), F.lit("\n"), "eight").alias("t"))
     used = deps.groupBy("chunk_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "t"))), lambda x: x["t"]), "\n").alias("uses"))
     return own.join(up, "chunk_id", "left").join(used, "chunk_id", "left").select("chunk_id", F.concat_ws("\n", "parent", "uses", "code").alias("text"))

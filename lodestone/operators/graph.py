@@ -57,6 +57,11 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     return found
 
 
+def dependents(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+    """seed, node, hops: what leads to each seed within `depth` hops."""
+    return reach(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), seeds, depth)
+
+
 def cycles(edges: DataFrame, longest: int = 3) -> DataFrame:
     """cycle (nodes joined by '>', the least first), length: the elementary cycles of up to `longest` nodes, self loops included.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The layers in order of precedence, with the folders, name suffixes and base classes that tell them.
@@ -53,3 +53,9 @@ def labels(path: Column, bases: Column | None = None) -> Column:
         tells.append(F.when(hit, layer))
     found = F.filter(F.array(*tells), lambda x: x.isNotNull())
     return F.when(F.size(found) == 0, F.array(F.lit("unknown"))).otherwise(found)
+
+
+def top_layers(counts: DataFrame, by: list[str], most: int = 3) -> DataFrame:
+    """by, layers: the commonest layers with their counts ('data:7 domain:3'); ties by name. `counts` has by, layer, n."""
+    r = counts.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy(F.col("n").desc(), "layer"))).where(F.col("r") <= most)
+    return r.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "layer", "n"))), lambda x: F.concat(x["layer"], F.lit(":"), x["n"].cast("string"))), " ").alias("layers"))

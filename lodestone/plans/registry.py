@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("corpus", "chunking", "rules", "code_graph", "retrieval", "review", "quality", "telemetry", "context", "extras")
+_MODULES = ("corpus", "chunking", "rules", "code_graph", "retrieval", "review", "quality", "telemetry", "context", "flow", "stores", "extras")
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:

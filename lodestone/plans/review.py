@@ -84,7 +84,7 @@ def q_report_files(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def q_consensus(spark: SparkSession, d: str) -> DataFrame:
     agent = F.element_at(F.array(*map(F.lit, ("security", "architecture", "style"))), (F.col("seq2") % 3 + 1).cast("int"))
-    i = issues(spark, d).select("file", F.col("start_line").alias("line"), F.monotonically_increasing_id().alias("seq"), agent.alias("agent"), "severity", "confidence")
+    i = issues(spark, d).select("file", F.col("start_line").alias("line"), F.xxhash64("start_line", "seq", "seq2", "seq3").alias("seq"), agent.alias("agent"), "severity", "confidence")
     return V.consensus(i, "file")
 
 
@@ -125,4 +125,5 @@ _SNIP = f"""WITH {_rules._SQL}, v AS (SELECT chunk_id, start_line, ls, i FROM (S
 def q_snippets(spark: SparkSession, d: str) -> DataFrame:
     c = chunk_texts(spark, d, "chunk_id", "chunk_type", "content").where("content IS NOT NULL AND chunk_type IN ('function', 'method')").withColumn("ls", T.lines(F.col("content")))
     hits = F.filter(F.transform("ls", lambda x, i: F.when(x.contains("return"), i + 1)), lambda i: i.isNotNull())
-    return c.select("chunk_id", "ls", F.explode(hits).alias("at")).select("chunk_id", "at", V.snippet(F.col("ls"), F.col("at"), F.col("at")).alias("snippet")).distinct()
+    cut = F.transform(hits, lambda at: F.struct(at.alias("at"), V.snippet(F.col("ls"), at, at).alias("snippet")))
+    return c.select("chunk_id", F.explode(cut).alias("s")).select("chunk_id", "s.at", "s.snippet").distinct()
