@@ -18,9 +18,7 @@ CHUNK_NAMESPACE = "3fce2cb4-697d-488a-a9ac-8e4916aeb3f7"
 #: Severities by rank; others rank 99.
 SEVERITIES = ("CRITICAL", "HIGH", "MEDIUM", "LOW", "INFO")
 #: Terms too common to prove anything.
-GENERIC_TERMS = (
-    "self data item items list dict value values result results index name path file line true false none def return class the and for get set obj arg args kwargs temp tmp"
-).split()
+GENERIC_TERMS = ("self", "data", "item", "items", "list", "dict", "value", "values", "result", "results", "index", "name", "path", "file", "line", "true", "false", "none", "def", "return", "class", "the", "and", "for", "get", "set", "obj", "arg", "args", "kwargs", "temp", "tmp")
 
 
 def lines(c: Column) -> Column:

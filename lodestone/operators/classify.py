@@ -9,10 +9,29 @@ from lodestone.functions.text import first_filled_line, first_lines, newline_cou
 
 #: Languages by extension.
 EXTENSIONS = {
-    "python": ".py", "javascript": ".js .jsx .mjs .cjs", "typescript": ".ts .tsx", "java": ".java", "go": ".go", "ruby": ".rb", "rust": ".rs",
-    "csharp": ".cs", "cpp": ".cpp .cc .cxx .h .hpp", "c": ".c", "kotlin": ".kt .kts", "swift": ".swift", "dart": ".dart", "php": ".php",
-    "shell": ".sh .bash .zsh", "sql": ".sql", "yaml": ".yaml .yml", "json": ".json", "toml": ".toml", "markdown": ".md .mdx", "html": ".html .htm", "css": ".css .scss .sass",
-}
+    "python": (".py",),
+    "javascript": (".js", ".jsx", ".mjs", ".cjs"),
+    "typescript": (".ts", ".tsx"),
+    "java": (".java",),
+    "go": (".go",),
+    "ruby": (".rb",),
+    "rust": (".rs",),
+    "csharp": (".cs",),
+    "cpp": (".cpp", ".cc", ".cxx", ".h", ".hpp"),
+    "c": (".c",),
+    "kotlin": (".kt", ".kts"),
+    "swift": (".swift",),
+    "dart": (".dart",),
+    "php": (".php",),
+    "shell": (".sh", ".bash", ".zsh"),
+    "sql": (".sql",),
+    "yaml": (".yaml", ".yml"),
+    "json": (".json",),
+    "toml": (".toml",),
+    "markdown": (".md", ".mdx"),
+    "html": (".html", ".htm"),
+    "css": (".css", ".scss", ".sass"),
+}
 #: Languages by the start of a first line.
 SHEBANGS = (("python", "#!/usr/bin/env python"), ("python", "#!/usr/bin/python"), ("javascript", "#!/usr/bin/env node"), ("shell", "#!/bin/bash"), ("shell", "#!/bin/sh"), ("shell", "#!/usr/bin/env bash"), ("shell", "#!/usr/bin/env zsh"), ("ruby", "#!/usr/bin/env ruby"))
 #: Names and patterns by what they say of a file.
@@ -24,7 +43,7 @@ TEST_NAMES = ("_test.py", "test_", ".test.ts", ".spec.ts", ".test.js", ".spec.js
 CONFIG_EXTENSIONS = (".yaml", ".yml", ".json", ".toml", ".ini", ".env", ".cfg")
 SKIP_DIRS = (".git", "__pycache__", "node_modules", ".venv", "venv", "env", "dist", "build", ".idea", ".vscode", "coverage", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".tox", ".eggs")
 LOCK_NAMES = ("package-lock.json", "yarn.lock", "poetry.lock", "Pipfile.lock", "composer.lock", "Gemfile.lock", "pnpm-lock.yaml", "bun.lockb")
-BINARY_EXTENSIONS = ".png .jpg .jpeg .gif .ico .svg .pdf .zip .tar .gz .bz2 .xz .whl .egg .pyc .pyo .class .jar .war .so .dylib .dll .exe .o .a .wasm .bin .dat".split()
+BINARY_EXTENSIONS = (".png", ".jpg", ".jpeg", ".gif", ".ico", ".svg", ".pdf", ".zip", ".tar", ".gz", ".bz2", ".xz", ".whl", ".egg", ".pyc", ".pyo", ".class", ".jar", ".war", ".so", ".dylib", ".dll", ".exe", ".o", ".a", ".wasm", ".bin", ".dat")
 SMALLEST, LARGEST = 10, 500_000
 
 
@@ -43,7 +62,7 @@ def language_of(extension: Column, first_line: Column | None = None) -> Column:
         for name, start in reversed(SHEBANGS):
             out = F.when(first_line.startswith(start), name).otherwise(out)
     for name, ends in EXTENSIONS.items():
-        out = F.when(ext.isin(*ends.split()), name).otherwise(out)
+        out = F.when(ext.isin(*ends), name).otherwise(out)
     return out
 
 

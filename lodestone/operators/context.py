@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.text import head_lines, html_escaped, severity
 
 #: Parts of a path that mark it as sensitive.
-SECURITY_PATHS = "auth crypt token password secret jwt oauth signin login session credential key permission role access secure".split()
+SECURITY_PATHS = ("auth", "crypt", "token", "password", "secret", "jwt", "oauth", "signin", "login", "session", "credential", "key", "permission", "role", "access", "secure")
 #: Rule categories that always apply.
 BASELINE = ("complexity", "error_handling", "security", "style")
 

@@ -19,6 +19,10 @@ BY_LANGUAGE = {
 }
 
 
+#: Below how many cycles and which share of orphans a graph is healthy, by language.
+GRAPH = {"default": (5, 0.10), "dart": (5, 0.18), "kotlin": (5, 0.15), "swift": (5, 0.15), "javascript": (8, 0.12), "typescript": (6, 0.12)}
+
+
 def p95(counts: DataFrame, by: list[str], value: str) -> DataFrame:
     """by, p95: the 95th percentile by the exclusive method (it may go beyond the greatest value of a small group; one value is itself).
 
@@ -54,6 +58,13 @@ def graded(values: DataFrame) -> DataFrame:
     return j.select(*values.columns, status.alias("status"), score.alias("score"))
 
 
+def graph_health(values: DataFrame) -> DataFrame:
+    """Status and score of IQ-06 for rows with language, cycles, orphan_rate: PASS if both are below their limits, WARN if one is. A null language counts as default."""
+    limit = lambda i: F.coalesce(F.create_map(*(F.lit(x) for k, v in GRAPH.items() for x in (k, float(v[i]))))[F.coalesce("language", F.lit("default"))], F.lit(float(GRAPH["default"][i])))
+    good = (F.col("cycles") < limit(0)).cast("int") + (F.col("orphan_rate") < limit(1)).cast("int")
+    return values.withColumn("status", F.when(good == 2, "PASS").when(good == 1, "WARN").otherwise("FAIL")).withColumn("score", good * 50)
+
+
 def _weight(dim: Column) -> Column:
     out = F.lit(0)
     for k, v in WEIGHTS.items():

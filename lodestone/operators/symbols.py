@@ -46,13 +46,14 @@ def calls(chunks: DataFrame) -> DataFrame:
 def resolve_calls(called: DataFrame, symbols: DataFrame) -> DataFrame:
     """chunk_id, callee, target, confidence, via: the best candidate of each call.
 
-    In order: the caller's class in its file, the file, the repository (1.0 in the file, else 0.8); then the same without a receiver;
-    else external with 0.5. Each step is an equi-join with one row a key.
+    In order: the caller's class in its file, the file (by name, or by class and name as in `Store.save`), the repository (1.0 in the
+    file, else 0.8); a receiver such as `self.` is left out. What is called on another object stays external, with 0.5: its type
+    isn't known. Each step is an equi-join with one row a key.
     """
-    plain = F.regexp_replace("callee", RECEIVERS, "")
-    c = called.withColumns({"name": F.regexp_extract(plain, r"([^.]+)$", 1), "qualified": plain.contains(".")})
+    c = called.withColumn("name", F.regexp_replace(F.regexp_replace("callee", RECEIVERS, ""), r"^super\.", ""))
     in_class = first_by(symbols.where(F.col("parent").isNotNull()), "repo_name", "file_path", "parent", "name").withColumnRenamed("hit", "by_class")
-    in_file = first_by(symbols, "repo_name", "file_path", "name").withColumnRenamed("hit", "by_file")
+    qualified = symbols.where(F.col("parent").isNotNull()).withColumn("name", F.concat_ws(".", "parent", "name"))
+    in_file = first_by(symbols.unionByName(qualified), "repo_name", "file_path", "name").withColumnRenamed("hit", "by_file")
     in_repo = first_by(symbols, "repo_name", "name").withColumnRenamed("hit", "by_name")
     j = c.join(in_class, ["repo_name", "file_path", "parent", "name"], "left").join(in_file, ["repo_name", "file_path", "name"], "left").join(in_repo, ["repo_name", "name"], "left")
     hit = F.coalesce("by_class", "by_file", "by_name")

@@ -19,13 +19,14 @@ _SYMBOLS = f"{_CHUNKS}, s AS (SELECT repo_name, file_path, {_BARE} AS name, pare
 _NO = ", ".join(f"'{x}'" for x in S.NO_CALLS)
 
 
-def _first(keys: str, alias: str, where: str = "true") -> str:
-    return f"{alias} AS (SELECT {keys}, chunk_id AS {alias}_id FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY file_path, start_line NULLS FIRST, chunk_id) AS r FROM s WHERE {where}) WHERE r = 1)"
+def _first(keys: str, alias: str, where: str = "true", source: str = "s") -> str:
+    return f"{alias} AS (SELECT {keys}, chunk_id AS {alias}_id FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY file_path, start_line NULLS FIRST, chunk_id) AS r FROM {source} WHERE {where}) WHERE r = 1)"
 
 
 _CALLS = f"""{_SYMBOLS}, k AS (SELECT chunk_id, repo_name, file_path, parent, {_BARE} AS own, unnest(list_distinct(regexp_extract_all(content, '([A-Za-z_][\\w.]*)\\s*\\(', 1))) AS callee FROM c WHERE chunk_type IN ('function', 'method') AND content IS NOT NULL),
-  k2 AS (SELECT *, regexp_extract(regexp_replace(callee, '{S.RECEIVERS}', ''), '([^.]+)$', 1) AS name FROM k WHERE callee NOT IN ({_NO}) AND callee IS DISTINCT FROM own),
-  {_first("repo_name, file_path, parent, name", "a", "parent IS NOT NULL")}, {_first("repo_name, file_path, name", "f")}, {_first("repo_name, name", "n")},
+  k2 AS (SELECT *, regexp_replace(regexp_replace(callee, '{S.RECEIVERS}', ''), '^super\\.', '') AS name FROM k WHERE callee NOT IN ({_NO}) AND callee IS DISTINCT FROM own),
+  sq AS (SELECT * FROM s UNION ALL SELECT repo_name, file_path, parent || '.' || name, parent, kind, chunk_id, start_line FROM s WHERE parent IS NOT NULL),
+  {_first("repo_name, file_path, parent, name", "a", "parent IS NOT NULL")}, {_first("repo_name, file_path, name", "f", source="sq")}, {_first("repo_name, name", "n")},
   resolved AS (SELECT k2.chunk_id, k2.callee, coalesce(a_id, f_id, n_id) AS target, CASE WHEN a_id IS NOT NULL OR f_id IS NOT NULL THEN 1.0::DOUBLE WHEN n_id IS NOT NULL THEN 0.8::DOUBLE ELSE 0.5::DOUBLE END AS confidence,
      CASE WHEN a_id IS NOT NULL THEN 'class' WHEN f_id IS NOT NULL THEN 'file' WHEN n_id IS NOT NULL THEN 'name' ELSE 'external' END AS via
      FROM k2 LEFT JOIN a USING (repo_name, file_path, parent, name) LEFT JOIN f USING (repo_name, file_path, name) LEFT JOIN n USING (repo_name, name))"""
@@ -184,8 +185,8 @@ def q_blast_radius(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _layer_sql() -> str:
-    suffix = lambda table, stem: "CASE " + " ".join(f"WHEN ends_with({stem}, '{s}') THEN '{k}'" for s, k in sorted(((s, k) for k, v in table.items() for s in v.split()), key=lambda t: (-len(t[0]), t[0]))) + " END"
-    tells = ", ".join(f"CASE WHEN list_has_any(folders, [{', '.join(repr(x) for x in L.FOLDERS[k].split())}]) OR coalesce(camel = '{k}', false) OR coalesce(snake = '{k}', false) THEN '{k}' END" for k in L.LAYERS)
+    suffix = lambda table, stem: "CASE " + " ".join(f"WHEN ends_with({stem}, '{s}') THEN '{k}'" for s, k in sorted(((s, k) for k, v in table.items() for s in v), key=lambda t: (-len(t[0]), t[0]))) + " END"
+    tells = ", ".join(f"CASE WHEN list_has_any(folders, [{', '.join(repr(x) for x in L.FOLDERS[k])}]) OR coalesce(camel = '{k}', false) OR coalesce(snake = '{k}', false) THEN '{k}' END" for k in L.LAYERS)
     return f"""f AS (SELECT file_id, list_transform(string_split(path, '/'), lambda p: regexp_replace(lower(p), '\\.[^.]*$', '')) AS folders, regexp_replace(string_split(path, '/')[-1], '\\.[^.]*$', '') AS stem FROM repo_file),
       g AS (SELECT *, {suffix(L.SUFFIXES, 'stem')} AS camel, {suffix(L.SNAKE_SUFFIXES, 'lower(stem)')} AS snake FROM f),
       labelled AS (SELECT file_id, list_filter([{tells}], lambda x: x IS NOT NULL) AS found FROM g)"""

@@ -23,7 +23,7 @@ def sql_lines(c: str) -> str:
     return f"(CASE WHEN {s}[-1] = '' THEN list_slice({s}, 1, len({s}) - 1) ELSE {s} END)"
 
 
-_SQL_LANGUAGE = "CASE " + " ".join(f"WHEN ext IN ({_in(v.split())}) THEN '{k}'" for k, v in classify.EXTENSIONS.items()) + " " + " ".join(f"WHEN starts_with(coalesce(ls[1], ''), '{s}') THEN '{n}'" for n, s in classify.SHEBANGS) + " ELSE 'unknown' END"
+_SQL_LANGUAGE = "CASE " + " ".join(f"WHEN ext IN ({_in(v)}) THEN '{k}'" for k, v in classify.EXTENSIONS.items()) + " " + " ".join(f"WHEN starts_with(coalesce(ls[1], ''), '{s}') THEN '{n}'" for n, s in classify.SHEBANGS) + " ELSE 'unknown' END"
 _SQL_FLAGS = f"""
  flags0 AS (SELECT file_id, repo_name, path, coalesce(content, '') AS content, string_split(path, '/') AS parts, string_split(path, '/')[-1] AS name,
     lower(regexp_extract(string_split(path, '/')[-1], '[^.](\\.[^.]+)$', 1)) AS ext, {sql_lines("coalesce(content, '')")} AS ls FROM repo_file),

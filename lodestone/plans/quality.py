@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.operators import classify, parsers, quality, standards
+from lodestone.operators import graph as G
 from lodestone.operators import layers as L
-from lodestone.operators import parsers, quality, standards
-from lodestone.plans.chunking import chunk_texts
-from lodestone.plans.code_graph import _layer_sql, resolved
+from lodestone.plans.chunking import chunk_texts, chunks_once
+from lodestone.plans.code_graph import _code_edges, _EDGES, _layer_sql, resolved
 from lodestone.plans.corpus import flagged, sql_lines
 from lodestone.plans.registry import query
 from lodestone.sources.tables import table
@@ -33,28 +32,72 @@ def q_quality_chunk_size(spark: SparkSession, d: str) -> DataFrame:
     return quality.graded(v).select("language", "value", "status")
 
 
-def dimensions(spark: SparkSession, d: str) -> DataFrame:
-    """repo_name, dim, language ('default'), value of what can be told of a repository from its files and chunks."""
-    f = flagged(spark, d)
-    ratio = lambda a, b: F.when(F.sum(b.cast("int")) > 0, F.sum(a.cast("int")) / F.sum(b.cast("int")))
-    parseable = F.col("language") != "unknown"
-    parsed = f.groupBy("repo_name").agg(ratio(F.col("language").isin("python", "swift", "kotlin", "rust", "dart", "java", "go", "javascript", "typescript"), parseable).alias("value")).withColumn("dim", F.lit("IQ-01"))
+def primary_languages(spark: SparkSession, d: str) -> DataFrame:
+    """repo_name, language: the most frequent known language of a repository's files, ties to the first by name."""
+    n = flagged(spark, d).where(~F.col("language").isin("unknown", "binary")).groupBy("repo_name", "language").agg(F.count("*").alias("n"))
+    return n.groupBy("repo_name").agg(F.lower(F.min_by("language", F.struct(-F.col("n"), "language"))).alias("language"))
+
+
+def measures(spark: SparkSession, d: str) -> DataFrame:
+    """repo_name, dim, value of the measures with one threshold; all repositories have all of them, null where nothing can be told (skipped)."""
+    f = classify.parseable(flagged(spark, d)).where("is_parseable").select("repo_name", "file_id", "language", "content")
+    symbols = parsers.symbols(f).groupBy("file_id").agg(F.count("*").alias("n"))
+    parsed = f.select("repo_name", "file_id").join(symbols, "file_id", "left").groupBy("repo_name").agg((F.count_if(F.col("n") > 0) / F.count("*")).alias("IQ-01"), (F.coalesce(F.sum("n"), F.lit(0)) / F.count("*")).alias("IQ-02"))
     layer = L.labels(F.col("path"))[0]
-    unknown = table(spark, d, "repo_file").groupBy("repo_name").agg((F.count_if(layer == "unknown") / F.count("*")).alias("value")).withColumn("dim", F.lit("IQ-04"))
+    unknown = table(spark, d, "repo_file").groupBy("repo_name").agg((F.count_if(layer == "unknown") / F.count("*")).alias("IQ-04"))
     sizes = chunk_texts(spark, d, "chunk_id", "repo_name", "chunk_type", "content").where("content IS NOT NULL AND chunk_type <> 'module'").select("chunk_id", "repo_name", T.line_count(F.col("content")).alias("n")).distinct()
-    size = quality.p95(sizes, ["repo_name"], "n").select("repo_name", F.col("p95").alias("value"), F.lit("IQ-05").alias("dim"))
-    calls = resolved(spark, d).groupBy("repo_name").agg((F.count_if(F.col("via") != "external") / F.count("*")).alias("value")).withColumn("dim", F.lit("IQ-03"))
-    return reduce(DataFrame.unionByName, [parsed, unknown, size, calls]).select("repo_name", "dim", F.lit("default").alias("language"), F.round("value", 9).alias("value"))
+    size = quality.p95(sizes, ["repo_name"], "n").select("repo_name", F.col("p95").alias("IQ-05"))
+    calls = resolved(spark, d).groupBy("repo_name").agg((F.count_if(F.col("via") != "external") / F.count("*")).alias("IQ-03"))
+    whole = unknown.join(parsed, "repo_name", "left").join(size, "repo_name", "left").join(calls, "repo_name", "left").withColumn("IQ-07", F.lit(None).cast("double"))  # chunks have no vectors here
+    rows = F.explode(F.array(*(F.struct(F.lit(k).alias("dim"), F.round(F.col(k), 9).alias("value")) for k in ("IQ-01", "IQ-02", "IQ-03", "IQ-04", "IQ-05", "IQ-07"))))
+    return whole.select("repo_name", rows.alias("r")).select("repo_name", "r.dim", "r.value")
+
+
+def graph_measures(spark: SparkSession, d: str) -> DataFrame:
+    """repo_name, cycles (of up to three chunks), orphan_rate of the graph within each repository."""
+    names = chunks_once(spark, d, "chunk_id", "repo_name", "chunk_type").where("chunk_type NOT IN ('module', 'import')").select(F.col("chunk_id").alias("node"), "repo_name").distinct()
+    edges = _code_edges(spark, d)
+    alone = G.orphans(names, edges).groupBy("repo_name").agg(F.count("*").alias("orphans"))
+    round_trips = G.cycles(edges, 3).select(F.split("cycle", ">")[0].alias("node")).join(names, "node").groupBy("repo_name").agg(F.count("*").alias("cycles"))
+    all_nodes = names.groupBy("repo_name").agg(F.count("*").alias("nodes"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return all_nodes.join(alone, "repo_name", "left").join(round_trips, "repo_name", "left").select("repo_name", zero("cycles").alias("cycles"), F.round(zero("orphans") / F.col("nodes"), 9).alias("orphan_rate"))
+
+
+def dimensions(spark: SparkSession, d: str) -> DataFrame:
+    """repo_name, dim, language, value, status, score of all seven dimensions, by the thresholds of each repository's primary language."""
+    language = primary_languages(spark, d)
+    own = lambda t: t.join(language, "repo_name", "left").withColumn("language", F.coalesce("language", F.lit("default")))
+    six = quality.graded(own(measures(spark, d)))
+    health = quality.graph_health(own(graph_measures(spark, d))).select("repo_name", F.lit("IQ-06").alias("dim"), "language", F.col("orphan_rate").alias("value"), "status", "score")
+    return six.select("repo_name", "dim", "language", "value", "status", "score").unionByName(health)
 
 
 @query(f"WITH {_layer_sql()} SELECT repo_name, round(count_if(len(found) = 0) / count(*), 9) AS value, CASE WHEN count_if(len(found) = 0) / count(*) < 0.2 THEN 'PASS' WHEN count_if(len(found) = 0) / count(*) < 0.4 THEN 'WARN' ELSE 'FAIL' END AS status FROM labelled JOIN repo_file USING (file_id) GROUP BY 1")
 def q_quality_layers(spark: SparkSession, d: str) -> DataFrame:
-    return quality.graded(dimensions(spark, d).where("dim = 'IQ-04'")).select("repo_name", "value", "status")
+    layer = L.labels(F.col("path"))[0]
+    unknown = table(spark, d, "repo_file").groupBy("repo_name").agg(F.round(F.count_if(layer == "unknown") / F.count("*"), 9).alias("value"))
+    return quality.graded(unknown.select("repo_name", F.lit("IQ-04").alias("dim"), F.lit("default").alias("language"), "value")).select("repo_name", "value", "status")
 
 
 @query()
 def q_quality_decision(spark: SparkSession, d: str) -> DataFrame:
-    return quality.decision(quality.graded(dimensions(spark, d)), ["repo_name"])
+    return quality.decision(dimensions(spark, d), ["repo_name"])
+
+
+@query()
+def q_quality_dimensions(spark: SparkSession, d: str) -> DataFrame:
+    return dimensions(spark, d)
+
+
+_ORPHANS = f"""{_EDGES}, nodes AS (SELECT DISTINCT chunk_id, repo_name FROM c WHERE chunk_type NOT IN ('module', 'import')), alone AS (SELECT repo_name, count(*) AS nodes, count_if(chunk_id NOT IN (SELECT dst FROM edges)) AS orphans FROM nodes GROUP BY 1),
+  pairs AS (SELECT DISTINCT src, dst FROM edges), loops AS (SELECT a.src AS node FROM pairs a JOIN pairs b ON b.src = a.dst AND b.dst = a.src WHERE a.src < a.dst UNION ALL SELECT a.src FROM pairs a JOIN pairs b ON b.src = a.dst JOIN pairs e ON e.src = b.dst AND e.dst = a.src WHERE a.src < b.src AND a.src < e.src AND b.src <> e.src UNION ALL SELECT src FROM pairs WHERE src = dst),
+  trips AS (SELECT repo_name, count(*) AS cycles FROM loops JOIN nodes ON chunk_id = node GROUP BY 1)"""
+
+
+@query(f"WITH {_ORPHANS} SELECT repo_name, coalesce(cycles, 0) AS cycles, round(orphans / nodes, 9) AS orphan_rate FROM alone LEFT JOIN trips USING (repo_name)")
+def q_graph_health(spark: SparkSession, d: str) -> DataFrame:
+    return graph_measures(spark, d)
 
 
 @query()
