@@ -272,10 +272,15 @@ def replay(feed: DataFrame, runs: DataFrame, folder: str, key: str, value: str,
     found = good.orderBy("started_at", "run_id").collect()  # one short row a run
     if not found:
         return feed.limit(0).select(F.lit("").alias("run_id"), key, value)
-    runner, before = Runner(feed.sparkSession, folder, key, value, fanout_bits, levels, part_bits), None
-    for r in found:
-        arrived = F.col(at) <= F.lit(r["started_at"])
-        rows = feed.where(arrived if before is None else arrived & (F.col(at) > F.lit(before)))
-        runner.advance(rows, order, lambda d, name=r["run_id"]: d.select(F.lit(name).alias("run_id"), key, value))
-        before = r["started_at"]
+    spark = feed.sparkSession
+    starts = F.array(*(F.lit(r["started_at"]) for r in found))
+    rows = feed.where(F.col(value).isNotNull() & F.col(key).isNotNull() & F.col(at).isNotNull() & (F.col(at) <= F.lit(found[-1]["started_at"])))
+    # the feed is laid out once by the run that sees a row first, as a feed that arrives in folders would be
+    seen = rows.select(*dict.fromkeys([key, value, *order]), (F.size(F.filter(starts, lambda s: s < F.col(at)))).alias("__run"))
+    seen.write.partitionBy("__run").parquet(f"{folder}/arrivals")
+    runner, schema = Runner(spark, folder, key, value, fanout_bits, levels, part_bits), seen.drop("__run").schema
+    for i, r in enumerate(found):
+        path, fs = runner._path(f"{folder}/arrivals/__run={i}"), runner._fs
+        arrived = spark.read.schema(schema).parquet(path.toString()) if fs.exists(path) else spark.createDataFrame([], schema)
+        runner.advance(arrived, order, lambda d, name=r["run_id"]: d.select(F.lit(name).alias("run_id"), key, value))
     return runner.output()
