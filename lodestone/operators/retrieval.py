@@ -34,8 +34,10 @@ def bm25(queries: DataFrame, index: DataFrame, key: str, qkey: str = "query_id",
     return asked.join(index, "term").groupBy(qkey, key).agg(F.sum(F.col("times") * F.col("idf") * tf).alias("score")).where("score > 0")
 
 
-def bm25_top(queries: DataFrame, docs: DataFrame, k: int, key: str = "doc_id", terms: str = "terms", block: int = 1024) -> DataFrame:
-    """query_id, key, score (to 6 places, above 0), rank: the k best documents of each query by the scores of `bm25`, itself left out.
+def bm25_top(queries: DataFrame, docs: DataFrame, k: int, key: str = "doc_id", terms: str = "terms", block: int = 1024, itself: bool = False) -> DataFrame:
+    """query_id, key, score (to 6 places, above 0), rank: the k best documents of each query by the scores of `bm25`.
+
+    A document of the query's own key is left out, unless `itself` says that queries aren't documents.
 
     Both sides have key (a bigint) and terms. Queries go in blocks of a fixed number, their terms weighted, to where the documents are; a
     task keeps its k best of each query, so the pairs of query and document are never shuffled. Ties: the smaller key.
@@ -65,7 +67,8 @@ def bm25_top(queries: DataFrame, docs: DataFrame, k: int, key: str = "doc_id", t
                     b = whole.slice(i, 4096)
                     keys = b.column(0).to_numpy(zero_copy_only=False)
                     found = _scores(b.column(1), words, begin, who, much, len(qids), avgdl)
-                    found[qids[:, None] == keys[None, :]] = 0
+                    if not itself:
+                        found[qids[:, None] == keys[None, :]] = 0
                     close = np.round(found, 6)
                     least = -np.partition(-close, k - 1, axis=1)[:, k - 1 : k] if len(keys) > k else -np.inf
                     q, j = np.nonzero((found > 0) & (close >= least))  # ties at the border stay in

@@ -114,8 +114,8 @@ def _unhinted() -> Column:
 
 
 RULES = (
-    Rule("GEN001", "MEDIUM", lambda: _whole(_function() & (code_lines() > 50))),
-    Rule("SEC001", "CRITICAL", lambda: _only(~F.coalesce(F.col("file_path").rlike(TEST_PATH), F.lit(False)), _where(lambda x: x.rlike(SECRET) & ~F.trim(F.regexp_extract(x, SECRET, 1)).rlike(PLACEHOLDER)))),
+    Rule("GEN001", "MEDIUM", lambda: _whole(_function() & (F.size("ls") > 50) & (code_lines() > 50))),
+    Rule("SEC001", "CRITICAL", lambda: _only(F.col("content").rlike(SECRET) & ~F.coalesce(F.col("file_path").rlike(TEST_PATH), F.lit(False)), _where(lambda x: x.rlike(SECRET) & ~F.trim(F.regexp_extract(x, SECRET, 1)).rlike(PLACEHOLDER)))),
     Rule("GEN002", "LOW", lambda: F.slice(_only(_function(), _where(lambda x: (F.trim(x) != "") & ~F.trim(x).startswith("#") & ~F.trim(x).rlike(MAGIC_SKIP) & F.trim(x).rlike(MAGIC_CONTEXT) & F.trim(x).rlike(MAGIC))), 1, 3)),
     Rule("CP013", "MEDIUM", lambda: _whole(F.when(_function() & (commas() >= 5), parameters() > 5).otherwise(False))),
     Rule("SW008", "HIGH", lambda: F.slice(_only(_function() & (F.col("language") == "swift") & (F.coalesce("parent_symbol", F.lit("")).contains("ViewController") | F.coalesce("file_path", F.lit("")).contains("ViewController")), _where(lambda x: ~F.trim(x).startswith("//") & x.rlike(NETWORK))), 1, 3)),

@@ -2,20 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _trailing(events: DataFrame, by: list[str], ts: str, seconds: int, within: int, **sums: Column) -> DataFrame:
+    """Adds columns over the events of a key in the `within` microseconds up to each row.
+
+    Time is cut into spans of `seconds`: what a row looks back at lies in its own span or the one before, so each row also takes part, unseen,
+    in the next span. Windows are per key and span, and a busy key's history is spread over many.
+    """
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    spans = F.floor(at / (seconds * 1_000_000))
+    every = events.withColumn("__at", at).withColumn("__span", F.explode(F.array(F.struct(spans.alias("no"), F.lit(True).alias("own")), F.struct((spans + 1).alias("no"), F.lit(False).alias("own")))))
+    every = every.withColumns({"__no": F.col("__span.no"), "__own": F.col("__span.own")}).drop("__span")
+    w = Window.partitionBy(*by, "__no").orderBy("__at").rangeBetween(-within, 0)
+    return every.withColumns({k: c.over(w) for k, c in sums.items()}).where("__own").drop("__at", "__no", "__own")
+
+
 def rolling(events: DataFrame, by: list[str], ts: str, value: str, seconds: int) -> DataFrame:
-    """Adds rolling (sum) and calls (count) of a key's rows in the `seconds` up to each row, both ends included."""
-    w = Window.partitionBy(*by).orderBy(F.unix_micros(F.col(ts).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
-    return events.withColumns({"rolling": F.sum(value).over(w), "calls": F.count("*").over(w)})
+    """Adds rolling (sum) and calls (count) of a key's rows in the `seconds` up to each row, both ends included. Rows without a time are left out."""
+    # both ends: spans are a second longer than the window, so that no row looks back further than one span
+    return _trailing(events, by, ts, seconds + 1, seconds * 1_000_000, rolling=F.sum(value), calls=F.count("*"))
 
 
 def over_limit(events: DataFrame, by: list[str], ts: str, most: int, seconds: int = 60) -> DataFrame:
-    """The rows at which a key has more than `most` events within the trailing window."""
-    w = Window.partitionBy(*by).orderBy(F.unix_micros(F.col(ts).cast("timestamp"))).rangeBetween(-seconds * 1_000_000 + 1, 0)
-    return events.withColumn("calls", F.count("*").over(w)).where(F.col("calls") > most)
+    """The rows at which a key has more than `most` events within the trailing window. Rows without a time are left out."""
+    return _trailing(events, by, ts, seconds, seconds * 1_000_000 - 1, calls=F.count("*")).where(F.col("calls") > most)
 
 
 def longest_prefix(rows: DataFrame, table: DataFrame, value: str, prefix: str) -> DataFrame:

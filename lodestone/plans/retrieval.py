@@ -16,28 +16,20 @@ def _words(c: str):
     return F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)"), 1)
 
 
-def _first_line(c: str):
-    return F.split(c, r"\r\n|\n|\r")[0]
-
-
-def _scored(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", _words("text").alias("terms"))
-    asked = table(spark, d, "eval_items").select(F.col("item_id").alias("query_id"), _first_line("content").alias("line")).select("query_id", _words("line").alias("terms"))
-    return R.bm25(asked, R.postings(docs, "doc_id", "terms"), "doc_id")
-
-
 _BM25 = f"""d AS (SELECT doc_id, {_WORDS.format('text')} AS t FROM documents WHERE text IS NOT NULL), dl AS (SELECT doc_id, len(t) AS dl, t FROM d WHERE len(t) > 0),
   st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl), p AS (SELECT term, doc_id, dl, count(*) AS tf FROM (SELECT doc_id, dl, unnest(t) AS term FROM dl) GROUP BY 1, 2, 3),
   i0 AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM (SELECT term, count(*) AS df FROM p GROUP BY 1), st),
   i AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM i0) ELSE raw END AS idf FROM i0),
-  q AS (SELECT query_id, term, count(*) AS times FROM (SELECT item_id AS query_id, unnest({_WORDS.format("regexp_split_to_array(content, '\\r\\n|\\n|\\r')[1]")}) AS term FROM eval_items) GROUP BY 1, 2),
+  q AS (SELECT query_id, term, count(*) AS times FROM (SELECT item_id AS query_id, unnest({_WORDS.format("content")}) AS term FROM eval_items) GROUP BY 1, 2),
   scored AS (SELECT query_id, doc_id, sum(times * idf * (tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)))) AS score FROM q JOIN i USING (term) JOIN p USING (term), st GROUP BY 1, 2)"""
 
 
 @query(f"WITH {_BM25} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 15")
 def q_bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    s = _scored(spark, d).withColumn("score", F.round("score", 6))
-    return R.top(s, ["query_id"], [F.col("score").desc(), F.col("doc_id")], 15).select("query_id", "doc_id", "score", "rank")
+    """The documents that are most like each evaluation item, by its whole text."""
+    docs = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", _words("text").alias("terms"))
+    asked = table(spark, d, "eval_items").select(F.col("item_id").alias("doc_id"), _words("content").alias("terms"))
+    return R.bm25_top(asked, docs, 15, itself=True).select("query_id", "doc_id", "score", "rank")
 
 
 def _documents(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
