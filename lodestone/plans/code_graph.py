@@ -116,7 +116,7 @@ def q_orphans(spark: SparkSession, d: str) -> DataFrame:
     return G.orphans(nodes.select(F.col("chunk_id").alias("node")).distinct(), _code_edges(spark, d))
 
 
-#: Trade between nations stands for a dense graph: an edge from the customer's nation to the supplier's for every line sold.
+#: Trade between nations stands for edges that come many times: one from the customer's nation to the supplier's for every line sold.
 _TRADE = """trade AS (SELECT c_nationkey AS src, s_nationkey AS dst, l_returnflag AS kind, l_orderkey AS o, l_linenumber AS l FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey)"""
 
 
@@ -126,14 +126,6 @@ def trade(spark: SparkSession, d: str) -> DataFrame:
     return j.select(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst"), F.col("l_returnflag").alias("kind"), F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("l"))
 
 
-def _rare_trade(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of nations that traded less than the average pair did."""
-    n = trade(spark, d).groupBy("src", "dst").agg(F.count("*").alias("n"))
-    mean = n.agg((F.avg("n") * 0.97).alias("mean"))
-    return n.join(F.broadcast(mean)).where("n < mean").select("src", "dst")  # one row
-
-
-_RARE = f"{_TRADE}, cnt AS (SELECT src, dst, count(*) AS n FROM trade GROUP BY 1, 2), e AS (SELECT src, dst FROM cnt WHERE n < (SELECT avg(n) * 0.97 FROM cnt))"
 
 
 @query(f"WITH {_TRADE} SELECT src, dst, kind, o, l FROM (SELECT *, row_number() OVER (PARTITION BY src, dst, kind ORDER BY o, l) AS r FROM trade) WHERE r = 1")
@@ -146,44 +138,6 @@ def q_digraph_last_wins(spark: SparkSession, d: str) -> DataFrame:
     return G.digraph(trade(spark, d), ["o", "l", "kind"])
 
 
-@query(f"WITH {_RARE} SELECT node, sum(i) AS n_in, sum(o) AS n_out FROM (SELECT src AS node, 0 AS i, 1 AS o FROM e UNION ALL SELECT dst, 1, 0 FROM e) GROUP BY 1")
-def q_degrees(spark: SparkSession, d: str) -> DataFrame:
-    return G.degrees(_rare_trade(spark, d))
-
-
-@query(f"WITH {_RARE} SELECT src AS node, count(*) AS n_out FROM e GROUP BY 1 HAVING count(*) >= 10")
-def q_high_coupling(spark: SparkSession, d: str) -> DataFrame:
-    return G.high_coupling(_rare_trade(spark, d))
-
-
-@query(f"WITH {_RARE} SELECT (SELECT count(*) FROM nation) AS nodes, count(*) AS edges, round(count(*) / ((SELECT count(*) FROM nation) * ((SELECT count(*) FROM nation) - 1)), 9) AS density FROM e")
-def q_density(spark: SparkSession, d: str) -> DataFrame:
-    return G.stats(table(spark, d, "nation").select(F.col("n_nationkey").alias("node")), _rare_trade(spark, d))
-
-
-@query(
-    f"""WITH {_RARE} SELECT src::VARCHAR AS cycle, 1 AS length FROM e WHERE src = dst UNION ALL
-    SELECT a.src || '>' || a.dst, 2 FROM e a JOIN e b ON b.src = a.dst AND b.dst = a.src WHERE a.src < a.dst UNION ALL
-    SELECT a.src || '>' || a.dst || '>' || b.dst, 3 FROM e a JOIN e b ON b.src = a.dst JOIN e c ON c.src = b.dst AND c.dst = a.src WHERE a.src < a.dst AND b.dst > a.src AND b.dst <> a.dst"""
-)
-def q_cycles3(spark: SparkSession, d: str) -> DataFrame:
-    return G.cycles(_rare_trade(spark, d), 3)
-
-
-@query(
-    f"""WITH RECURSIVE {_RARE}, walk AS (SELECT DISTINCT src AS seed, src AS node, 0 AS hops FROM e UNION SELECT w.seed, e.dst, w.hops + 1 FROM walk w JOIN e ON e.src = w.node WHERE w.hops < 3)
-    SELECT seed, node, min(hops) AS hops FROM walk GROUP BY 1, 2"""
-)
-def q_reach_k(spark: SparkSession, d: str) -> DataFrame:
-    e = _rare_trade(spark, d)
-    return G.reach(e, e.select(F.col("src").alias("node")).distinct(), 3)
-
-
-@query(f"WITH {_RARE}, u AS (SELECT src, dst FROM e WHERE src <> dst UNION SELECT dst, src FROM e WHERE src <> dst) SELECT src AS node, count(*) AS radius FROM u GROUP BY 1")
-def q_blast_radius(spark: SparkSession, d: str) -> DataFrame:
-    return G.blast_radius(_rare_trade(spark, d))
-
-
 def _layer_sql() -> str:
     suffix = lambda table, stem: "CASE " + " ".join(f"WHEN ends_with({stem}, '{s}') THEN '{k}'" for s, k in sorted(((s, k) for k, v in table.items() for s in v), key=lambda t: (-len(t[0]), t[0]))) + " END"
     tells = ", ".join(f"CASE WHEN list_has_any(folders, [{', '.join(repr(x) for x in L.FOLDERS[k])}]) OR coalesce(camel = '{k}', false) OR coalesce(snake = '{k}', false) THEN '{k}' END" for k in L.LAYERS)
@@ -198,22 +152,11 @@ def q_layers(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "repo_file").select("file_id", F.array_join(found, ",").alias("labels"), found[0].alias("layer"))
 
 
-@query(
-    f"""WITH {_TRADE}, n AS (SELECT n_nationkey AS node, CASE n_regionkey WHEN 0 THEN 'presentation' WHEN 1 THEN 'domain' WHEN 2 THEN 'data' WHEN 3 THEN 'unknown' ELSE 'infrastructure' END AS layer FROM nation)
-    SELECT DISTINCT src, dst, a.layer AS src_layer, b.layer AS dst_layer FROM trade JOIN n a ON a.node = src JOIN n b ON b.node = dst WHERE (a.layer = 'presentation' AND b.layer = 'data') OR (a.layer = 'data' AND b.layer = 'presentation') OR (a.layer = 'unknown' AND b.layer = 'unknown' AND src <> dst)"""
-)
-def q_layer_violations(spark: SparkSession, d: str) -> DataFrame:
-    layer = F.element_at(F.array(*map(F.lit, ("presentation", "domain", "data", "unknown", "infrastructure"))), F.col("n_regionkey") + 1)
-    nodes = table(spark, d, "nation").select(F.col("n_nationkey").alias("node"), layer.alias("layer"), F.lit(1).alias("labels"))
-    edges = trade(spark, d).select("src", "dst", F.lit("CALLS").alias("kind"), (F.col("src") != F.col("dst")).alias("cross_domain")).distinct()
-    return G.layer_violations(edges, nodes)
-
-
 _PAIRS = f"{_EDGES}, e AS (SELECT DISTINCT src, dst FROM edges)"
 
 
 def _code_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """The distinct pairs of the code's own graph, for the same measures as of the trade above."""
+    """The distinct pairs of the code's graph."""
     return _code_edges(spark, d).select("src", "dst").distinct()
 
 
@@ -255,7 +198,15 @@ def q_code_blast_radius(spark: SparkSession, d: str) -> DataFrame:
     return G.blast_radius(_code_pairs(spark, d))
 
 
-@query()
+_LABELLED = _layer_sql().replace("FROM repo_file", "FROM (SELECT DISTINCT file_path AS file_id, file_path AS path FROM chunks)")
+
+
+@query(
+    f"""WITH {_EDGES}, lab AS (WITH {_LABELLED} SELECT file_id AS file_path, CASE WHEN len(found) = 0 THEN 'unknown' ELSE found[1] END AS layer, greatest(1, len(found)) AS labels FROM labelled),
+    v AS (SELECT chunk_id AS node, layer, labels, string_split(file_path, '/') AS p FROM (SELECT DISTINCT chunk_id, file_path FROM chunks) JOIN lab USING (file_path))
+    SELECT DISTINCT src, dst, x.layer AS src_layer, y.layer AS dst_layer FROM edges JOIN v x ON x.node = src JOIN v y ON y.node = dst WHERE kind = 'CALLS' AND x.labels <= 1 AND y.labels <= 1
+      AND ((x.layer = 'presentation' AND y.layer = 'data') OR (x.layer = 'data' AND y.layer = 'presentation') OR (x.layer = 'unknown' AND y.layer = 'unknown' AND len(x.p) >= 2 AND len(y.p) >= 2 AND x.p[1] <> y.p[1]))"""
+)
 def q_code_layer_violations(spark: SparkSession, d: str) -> DataFrame:
     found = L.labels(F.col("file_path"))
     nodes = chunk_texts(spark, d, "chunk_id", "file_path").distinct().select(F.col("chunk_id").alias("node"), found[0].alias("layer"), F.size(found).alias("labels"))
