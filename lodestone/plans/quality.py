@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import classify, parsers, quality, standards
+from lodestone.operators import classify, parsers, quality, standards, tags
 from lodestone.operators import graph as G
 from lodestone.operators import layers as L
 from lodestone.plans.chunking import chunk_texts, chunks_once
@@ -132,3 +132,11 @@ def q_rules_for_language(spark: SparkSession, d: str) -> DataFrame:
     texts = spark.createDataFrame([("example.md", EXAMPLE)], "name string, text string")
     languages = table(spark, d, "chunks").where("language IS NOT NULL").select("language").distinct()
     return standards.for_languages(standards.rules(texts), languages).select("language", "rule_id", "rank")
+
+
+@query()
+def q_symbol_tags(spark: SparkSession, d: str) -> DataFrame:
+    """What frameworks make of the symbols of Kotlin, Rust, Swift and Dart files."""
+    f = flagged(spark, d).where(F.col("language").isin("kotlin", "rust", "swift", "dart"))
+    where = f.select("file_id", "repo_name", F.col("path").alias("file_path"), "language")
+    return tags.tags(parsers.symbols(f, source=True).join(where, "file_id"))
