@@ -51,7 +51,9 @@ def cut(df: DataFrame) -> DataFrame:
 def cut_by(df: DataFrame, *keys: str) -> DataFrame:
     """As `cut`, but hash-partitioned by keys, and known to be: later joins on the keys don't move these rows again.
 
-    A plan that is adapted while it runs doesn't tell its partitioning, so this one is planned without adaptation.
+    Of several rows with the same keys one stays; who expects many of them combines them before. A plan that is adapted while it runs doesn't tell its
+    partitioning, so this one is planned without adaptation; other threads' plans of the same session may be, too, meanwhile, which
+    changes their speed, not their rows.
     """
     spark = df.sparkSession
     wide = int(spark.conf.get("spark.sql.shuffle.partitions"))

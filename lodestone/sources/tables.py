@@ -1,4 +1,4 @@
-"""Parquet tables by name, with the file size checks that decide whether a side may be broadcast."""
+"""Parquet tables by name."""
 
 from __future__ import annotations
 
@@ -8,11 +8,3 @@ from pyspark.sql import DataFrame, SparkSession
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """The Parquet table `name` below `directory`; a file or a folder of files."""
     return spark.read.parquet(f"{directory}/{name}.parquet")
-
-
-def bytes_of(spark: SparkSession, directory: str, name: str) -> int:
-    """Size on storage of a table, read from the file system's metadata (no Spark job)."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{directory}/{name}.parquet")
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return int(fs.getContentSummary(path).getLength()) if fs.exists(path) else 0
