@@ -1,10 +1,10 @@
-"""Source files that do not parse: minimum-cost syntax repair by error-correcting chart parsing.
+"""Source files that do not parse: an error-correcting chart over brackets, and sequences of tokens that no valid file has.
 
 Each language's grammar is split by bracket level: brackets form a context-free (Dyck) language, and what stands between
 them a local language over token classes, in which a string belongs exactly if none of the forbidden class sequences
-occurs in it. The cost of a file is the least number of tokens to delete, insert or replace: the chart over the
-brackets that don't cancel, plus one edit for each forbidden sequence and each character that is no token. Cost 0 means it
-parses. Python and JSON have exact parsers at hand; what they accept costs 0 without a chart, what they reject at least 1.
+occurs in it. The cost of a file adds the least number of brackets to delete, insert or replace, by the chart over those
+that don't cancel, to one edit for each forbidden sequence and each character that is no token; an edit that would mend both counts twice.
+Cost 0 means it parses. Python and JSON have exact parsers at hand; what they accept costs 0 without a chart, what they reject at least 1.
 The places of the edits tell truncation, merge conflicts and content of another language apart.
 """
 
@@ -220,39 +220,68 @@ def residue(classes: str) -> list[int]:
     return stack
 
 
-#: Brackets that are matched with each other, by a replacement if need be, are at most so many apart among those that don't cancel.
-REACH = 160
+def _bounds(left: str) -> tuple[int, int]:
+    """What balancing a residue costs at least and at most, in one pass over it.
+
+    At least one edit for each opening bracket before a closing one, as they differ in kind, and one for every two brackets that have
+    no partner of their kind; at most what it costs to match regardless of kind, then the rest two by two.
+    """
+    stack, wrong, lone, own, open_of = [], 0, 0, 0, dict.fromkeys("([{", 0)
+    for c in left:
+        if c in "([{":
+            stack.append(c)
+            open_of[c] += 1
+            continue
+        kind = "([{"[")]}".index(c)]
+        if open_of[kind]:
+            open_of[kind] -= 1
+            own += 1
+        if stack:
+            wrong += stack.pop() != kind
+        else:
+            lone += 1
+    n = len(left)
+    differ = sum(a in "([{" and b in ")]}" for a, b in zip(left, left[1:]))
+    return max(differ, (n + 1) // 2 - own), wrong + (lone + 1) // 2 + (len(stack) + 1) // 2
 
 
-def dyck_cost(brackets: str, reach: int = REACH) -> int:
+def dyck_cost(brackets: str) -> int:
     """The least number of deletions, insertions or replacements that balance a string of brackets, by a chart over its spans.
 
-    Matching neighbours cancel first, which costs nothing. What is left is matched within `reach` brackets of each other: one rule for texts
-    of any length, in time proportional to it. What has no opening before a closing bracket needs no chart.
+    Matching neighbours cancel first, which costs nothing. The chart over what is left has all spans, and any two brackets may be matched:
+    rows from the last bracket up, each made from the rows below it by the partners of its first bracket. A partner counts only where
+    it beats nearer ones, as else a nearer one and the span between give the same. Where the bounds meet no chart is needed.
     """
     left = "".join(brackets[i] for i in residue(brackets))
+    least, most = _bounds(left)
+    if least == most:
+        return least
     n = len(left)
-    opens = len(left.lstrip(")]}"))
-    if all(c in "([{" for c in left[n - opens :]):  # closing ones, then opening ones: neighbours of a kind pair by one replacement
-        return (n - opens + 1) // 2 + (opens + 1) // 2
     code = np.array(["([{)]}".index(c) for c in left], dtype=np.int8)
-    opening = code < 3
-    widest = min(reach, n)
-    # chart[s][i]: the cost of the span of s brackets from i on
-    chart = np.zeros((widest + 1, n + 1), dtype=np.int32)
-    for size in range(1, widest + 1):
-        starts = n - size + 1
-        best = chart[size - 1, 1 : starts + 1] + 1  # the first is deleted, or gets a partner
-        for k in range(1, size):
-            a, b = slice(0, starts), slice(k, k + starts)
-            pair = np.where(opening[a] & (code[b] == code[a] + 3), 0, np.where(opening[a] | ~opening[b], 1, 2))
-            best = np.minimum(best, pair + chart[k - 1, 1 : starts + 1] + chart[size - 1 - k, k + 1 : k + 1 + starts])
-        chart[size, :starts] = best
-    total = np.zeros(n + 1, dtype=np.int64)
-    for end in range(1, n + 1):
-        sizes = np.arange(1, min(widest, end) + 1)
-        total[end] = (total[end - sizes] + chart[sizes, end - sizes]).min()
-    return int(total[n])
+    far = n // 2 + 2  # more than any span costs, as two neighbours cost 1 at most but for one pair of a closing and an opening one
+    kind = np.int16 if 2 * far + 4 < 1 << 15 else np.int32
+    # pair[c][k]: what it costs to make a bracket of code c and a later one at k partners
+    pair = np.ones((6, n), dtype=kind)
+    for c in range(3):
+        pair[c, code == c + 3] = 0
+    pair[3:, code < 3] = 2
+    # chart[i][j]: the cost of the span from i up to j, less `far`; what is never written, as j < i, stays 0
+    chart = np.zeros((n + 2, n + 1), dtype=kind)
+    chart[n, n] = -far
+    for i in range(n - 1, -1, -1):
+        below, row = chart[i + 1, i + 1 :], chart[i, i:]
+        row[0] = -far
+        np.add(below, 1, out=row[1:])  # the first is deleted, or gets a partner
+        inner = pair[code[i], i + 1 :] + below[:-1]
+        ks, some = np.flatnonzero(inner < row[2:]), 4
+        while ks.size:
+            now, ks = ks[:some], ks[some:]
+            first = now[0] + 2
+            spans = chart[now + i + 2, i + first :]
+            spans += (inner[now] + far).astype(kind)[:, None]
+            np.minimum(row[first:], spans.min(axis=0), out=row[first:])
+            ks, some = ks[inner[ks] < row[ks + 2]], min(2 * some, 64)
+    return int(chart[0, n]) + far
 
 
 class Verdict(NamedTuple):
